@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import leaks, lookalike
+from lattica.llm import knn, leaks, lookalike, setjoin
 
 
 def _table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet").select(*columns)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of paths of which one is among the 5 nearest usable paths of the other."""
+    near = knn.nearest_vectors(_table(spark, d, "vec_embeddings", "path", "embedding"), "path", "embedding", k=5, dim=64)
+    return near.select(F.least("path", "neighbour").alias("path_a"), F.greatest("path", "neighbour").alias("path_b")).distinct()
+
+
+def _current_tags(spark: SparkSession, d: str) -> DataFrame:
+    runs = _table(spark, d, "sync_runs", "run_id", "status").where("status = 'success'").select("run_id").distinct()
+    nodes = _table(spark, d, "nodes", "path", "run_id", "saved_at", "tags").where("path is not null").join(runs, "run_id", "left_semi")
+    latest = nodes.groupBy("path").agg(F.max_by("tags", F.struct("run_id", "saved_at")).alias("tags"))
+    return latest.select("path", setjoin.normalize_set(F.col("tags")).alias("tags"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of notes with at least 3 tags each whose tag sets overlap by 0.7 or more."""
+    pairs = setjoin.similar_records(_current_tags(spark, d), "path", "tags", threshold=0.7, min_size=3)
+    return pairs.select(F.col("key_a").alias("path_a"), F.col("key_b").alias("path_b")).distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Each document with each evaluation item of which it holds 20 consecutive words."""
     return leaks.find_leaks(_table(spark, d, "documents", "doc_id", "text"), _table(spark, d, "eval_items", "item_id", "text"))
@@ -29,6 +48,15 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_texts(docs).select("doc_id", "text", F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {"p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p7_found": """
+WITH cur AS (SELECT path, tags FROM nodes WHERE path IS NOT NULL AND run_id IN (SELECT run_id FROM sync_runs WHERE status = 'success')
+             QUALIFY row_number() OVER (PARTITION BY path ORDER BY run_id DESC, saved_at DESC) = 1),
+     t AS (SELECT DISTINCT path, regexp_replace(regexp_replace(lower(x), '^[\\s#]+', ''), '\\s+$', '') k FROM (SELECT path, unnest(tags) x FROM cur) WHERE x IS NOT NULL),
+     s AS (SELECT path, count(*) n FROM t WHERE k <> '' GROUP BY 1 HAVING count(*) >= 3),
+     b AS (SELECT t.path, k, n FROM t JOIN s ON s.path = t.path WHERE k <> '')
+SELECT x.path path_a, y.path path_b FROM b x JOIN b y ON x.k = y.k AND x.path < y.path
+GROUP BY x.path, y.path, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*))""",
+}
