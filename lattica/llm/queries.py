@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import knn, leaks, lookalike, setjoin
+from lattica.llm import knn, leaks, lookalike, mixing, setjoin, splitting
+from lattica.session import materialize
 
 
 def _table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet").select(*columns)
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(_table(spark, d, "parsed_notes", "note_id", "body"), "note_id", "body")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Notes that had to be split, and those that no natural boundary helps somewhere."""
+    kinds = F.filter(
+        F.array(F.when(F.size("pieces") > 1, "split"), F.when(F.exists("pieces", lambda p: p["cut"] == "hard"), "hard")), lambda k: k.isNotNull()
+    )
+    return _pieces(spark, d).where("size(pieces) > 1").select("note_id", F.explode(kinds).alias("kind")).distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every note, as code point positions."""
+    return _pieces(spark, d).distinct().select("note_id", F.posexplode("pieces").alias("piece", "p")).select("note_id", "piece", F.col("p.start").alias("start"), F.col("p.end").alias("stop"), F.col("p.cut").alias("cut"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of paths of which one is among the 5 nearest usable paths of the other."""
     near = knn.nearest_vectors(_table(spark, d, "vec_embeddings", "path", "embedding"), "path", "embedding", k=5, dim=64)
@@ -48,9 +66,32 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_texts(docs).select("doc_id", "text", F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Plan and sized texts; the texts are written once, as both need them."""
+    docs = _table(spark, d, "documents", "doc_id", "source", "text")
+    supply = materialize(mixing.text_supply(docs, "doc_id", "source", "text"), "supply")
+    targets = mixing.mix_targets(_table(spark, d, "mix_targets", "mix_name", "source", "target_share", "max_repeats"))
+    return mixing.plan_mix(supply, targets), supply
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen texts of each mix with their repeats and training positions."""
+    plan, supply = _mix(spark, d)
+    return mixing.mix_texts(supply, plan).withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    plan, supply = _mix(spark, d)
+    return mixing.mix_shares(plan, mixing.mix_texts(supply, plan))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
+    "p2_found": """
+SELECT DISTINCT note_id, 'split' kind FROM parsed_notes WHERE length(body) > 1600
+UNION SELECT note_id, 'hard' FROM (SELECT note_id, unnest(regexp_split_to_array(body, '[\\s.!?;,。！？；，、]')) run FROM parsed_notes) WHERE length(run) > 1600""",
     "p7_found": """
 WITH cur AS (SELECT path, tags FROM nodes WHERE path IS NOT NULL AND run_id IN (SELECT run_id FROM sync_runs WHERE status = 'success')
              QUALIFY row_number() OVER (PARTITION BY path ORDER BY run_id DESC, saved_at DESC) = 1),
