@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import knn, leaks, lookalike, mixing, setjoin, splitting
+from lattica.llm import knn, leaks, lookalike, markup, mixing, setjoin, splitting
 from lattica.session import materialize
 
 
@@ -30,6 +30,17 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).distinct().select("note_id", F.posexplode("pieces").alias("piece", "p")).select("note_id", "piece", F.col("p.start").alias("start"), F.col("p.end").alias("stop"), F.col("p.cut").alias("cut"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, list entries, code blocks and formulas of every note."""
+    rows = markup.structure(_table(spark, d, "parsed_notes", "note_id", "body"), "note_id", "body")
+    return rows.select("note_id", F.explode("elements").alias("e")).select("note_id", "e.kind", "e.content").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every note, with its headings, entries, code blocks and formulas still shown."""
+    return markup.structure(_table(spark, d, "parsed_notes", "note_id", "body"), "note_id", "body", with_text=True).select("note_id", "clean").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of paths of which one is among the 5 nearest usable paths of the other."""
     near = knn.nearest_vectors(_table(spark, d, "vec_embeddings", "path", "embedding"), "path", "embedding", k=5, dim=64)
@@ -86,7 +97,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(plan, mixing.mix_texts(supply, plan))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
     "p2_found": """
