@@ -44,53 +44,37 @@ _EMOJI = "©®‼-⯿〰〽㊗㊙\U0001f000-\U0001faff️⃣"
 _ZWJ = re.compile(f"(?<=[{_EMOJI}])[‍️](?=[{_EMOJI}])|(?<=[{_EMOJI}])️")
 
 
-def _ranges(points: list[int]) -> str:
-    out, i = [], 0
-    while i < len(points):
-        j = i
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
-            j += 1
-        out.append(f"\\U{points[i]:08x}" + (f"-\\U{points[j]:08x}" if j > i else ""))
-        i = j + 1
-    return "".join(out)
+@functools.cache
+def _class(c: str) -> str:
+    """Quick-check class of a character: stable '', form, styled, invisible, space, mark, or other script's letter."""
+    cat = ud.category(c)
+    if cat == "Zs":
+        return "space" if c != " " else ""
+    if (cat == "Cf" and not _KEEP_CF.match(c)) or c in INVISIBLE:
+        return "invisible"
+    if cat[0] == "M" or "\u1160" <= c <= "\u11ff":
+        return "mark"
+    if not ud.is_normalized("NFKC", c) and c not in _KEEP_FORM:
+        kind = ud.decomposition(c)
+        return "styled" if kind.startswith("<") and not kind.startswith("<noBreak") and ud.normalize("NFKC", c).isalnum() else "form"
+    if cat[0] == "L" and cat != "Lm" and c > "\u024f" and not ud.name(c, "").startswith(_OWN_SCRIPTS):
+        return "other"
+    return ""
 
 
-@functools.cache
-def _tables() -> dict:
-    """Character classes, derived from the Unicode data of the running Python."""
-    form, invisible, space, mark, other = {}, [], [], [], []
-    for p in [*range(0x80, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]:
-        c = chr(p)
-        cat = ud.category(c)
-        if cat == "Cn" or cat == "Co":
-            continue
-        if cat == "Zs":
-            space.append(p)
-        elif (cat == "Cf" and not _KEEP_CF.match(c)) or c in INVISIBLE:
-            invisible.append(p)
-        elif cat[0] == "M":
-            mark.append(p)
-        elif not ud.is_normalized("NFKC", c) and c not in _KEEP_FORM:
-            form[c] = ud.normalize("NFKC", c)
-        if cat[0] == "L" and p > 0x24F and cat != "Lm" and c not in form:
-            name = ud.name(c, "")
-            if not name.startswith(("LATIN", "CJK", "HANGUL", "HIRAGANA", "KATAKANA", "YI ", "MODIFIER")):
-                other.append(p)
-    conjoining = [p for p in range(0x1160, 0x1200) if p not in invisible]
-    unstable = sorted({*map(ord, form), *invisible, *space, *mark, *conjoining})
-    styled = {c for c, k in form.items() if ud.decomposition(c).startswith("<") and not ud.decomposition(c).startswith("<noBreak") and k.isalnum()}
-    marks = _ranges(sorted(mark))
-    return {
-        "trigger": re.compile(f"[{_ranges(sorted({*unstable, *other}))}]"),
-        "segment": re.compile(f"(?s).?[{_ranges(unstable)}]+"),
-        "form": form,
-        "styled": styled,
-        "styled_re": re.compile(f"[{_ranges(sorted(map(ord, styled)))}]"),
-        "invisible": re.compile(f"[{_ranges(invisible)}]"),
-        "space": re.compile(f"[{_ranges(space)}]"),
-        "letter_marks": re.compile(f"[^\\W\\d_][{marks}]+"),
-        "other": re.compile(f"[{_ranges(other)}]"),
-    }
+#: Scripts whose letters are no look-alikes of Latin ones, and Latin itself.
+_OWN_SCRIPTS = ("LATIN", "CJK", "HANGUL", "HIRAGANA", "KATAKANA", "YI ", "MODIFIER")
+
+
+@functools.lru_cache(4096)
+def _segments(unstable: frozenset[str]) -> re.Pattern:
+    """Runs of unstable characters with the character before them."""
+    return re.compile(f"(?s).?[{re.escape(''.join(sorted(unstable)))}]+")
+
+
+@functools.lru_cache(4096)
+def _marked(marks: frozenset[str]) -> re.Pattern:
+    return re.compile(f"[^\\W\\d_][{re.escape(''.join(sorted(marks)))}]+")
 
 
 _LATIN = re.compile("[A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ]")
@@ -102,9 +86,8 @@ for _other, _latin in LOOKALIKES.items():
         _FROM_LATIN[_latin] = _other
 
 
-def _one_script(word: str, other: re.Pattern) -> str:
+def _one_script(word: str, foreign: list[str]) -> str:
     """A mixed word in one script: Latin where all its other letters have a Latin look-alike, else the other way round."""
-    foreign = other.findall(word)
     if all(c in LOOKALIKES for c in foreign):
         return word.translate(_TO_LATIN)
     if all(c in _FROM_LATIN for c in _LATIN.findall(word)):
@@ -120,48 +103,55 @@ def unify(text: str) -> tuple[str, list[str]]:
     """
     if text.isascii():
         return text, []
-    t = _tables()
-    if not t["trigger"].search(text):
+    classes = {c: k for c in set(text) if c > "\x7f" and (k := _class(c))}
+    if not classes:
         return text, []
     kinds: set[str] = set()
-    joiners = {m.start() for m in _ZWJ.finditer(text)} if "‍" in text or "️" in text else ()
-
-    def canonical(m: re.Match) -> str:
-        seg, start = m.group(), m.start()
-        out = []
-        for i, c in enumerate(seg):
-            if t["invisible"].match(c):
-                if start + i in joiners:
-                    out.append(c)
+    others = {c for c, k in classes.items() if k == "other"}
+    unstable = frozenset(c for c, k in classes.items() if k != "other")
+    if unstable:
+        joiners = {m.start() for m in _ZWJ.finditer(text)} if "\u200d" in unstable or "\ufe0f" in unstable else ()
+        marks = frozenset(c for c in unstable if classes[c] == "mark")
+
+        def canonical(m: re.Match) -> str:
+            seg, start = m.group(), m.start()
+            out = []
+            for i, c in enumerate(seg):
+                k = classes.get(c)
+                if k == "invisible":
+                    if start + i in joiners:
+                        out.append(c)
+                    else:
+                        kinds.add("invisible")
+                elif k == "space":
+                    kinds.add("space")
+                    out.append(" ")
+                elif k == "styled" or k == "form":
+                    if k == "styled":
+                        kinds.add("form")
+                    out.append(ud.normalize("NFKC", c))
                 else:
-                    kinds.add("invisible")
-            elif t["space"].match(c):
-                kinds.add("space")
-                out.append(" ")
-            elif c in t["form"]:
-                if c in t["styled"]:
-                    kinds.add("form")
-                out.append(t["form"][c])
-            else:
-                out.append(c)
-        plain = "".join(out)
-        composed = ud.normalize("NFC", plain)
-        if len(composed) < len(plain):
-            if any(len(ud.normalize("NFC", s)) < len(s) for s in t["letter_marks"].findall(plain)):
+                    out.append(c)
+            plain = "".join(out)
+            composed = ud.normalize("NFC", plain)
+            if marks and len(composed) < len(plain) and any(len(ud.normalize("NFC", s)) < len(s) for s in _marked(marks).findall(plain)):
                 kinds.add("combining")
-        return composed
+            return composed
+
+        text = _segments(unstable).sub(canonical, text)
+        if unstable - marks and not others:
+            others = {c for c in set(text) if c > "\x7f" and _class(c) == "other"}
+    if others and _LATIN.search(text):
 
-    done = t["segment"].sub(canonical, text)
-    if t["other"].search(done) and _LATIN.search(done):
         def one(m: re.Match) -> str:
             w = m.group()
-            if w.isascii() or not (t["other"].search(w) and _LATIN.search(w)):
+            if w.isascii() or others.isdisjoint(w) or not _LATIN.search(w):
                 return w
             kinds.add("lookalike")
-            return _one_script(w, t["other"])
+            return _one_script(w, [c for c in w if c in others])
 
-        done = _WORD.sub(one, done)
-    return done, [k for k in KINDS if k in kinds]
+        text = _WORD.sub(one, text)
+    return text, [k for k in KINDS if k in kinds]
 
 
 def words(text: str) -> list[str]:
