@@ -2,7 +2,7 @@
 
 MinHash containment search over size partitions: an item leaks if a document contains one of its runs of
 ``run_words`` words, so both sides are partitioned into windows of that size, each a set of word shingles. Of
-each window the minimum shingle hash is its signature. A window that lies wholly in the other text has the
+each window the minimum shingle hashes under a few permutations are its signature. A window that lies wholly in the other text has the
 same signature there, so equal signatures find every contained window, however long the document; candidates
 are verified by exact containment of the words.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lattica.llm.lookalike import words
 
 SHINGLE_WORDS = 5
+#: Minimum hashes, under as many permutations, that make up one signature.
+PERMUTATIONS = 3
 RUN_WORDS = 20
 #: Distinct words whose hashes a worker remembers before it starts anew.
 CACHE_WORDS = 500_000
@@ -41,8 +43,8 @@ def word_hashes(tokens: list[str]) -> list[int]:
     return out
 
 
-def window_signatures(hashes: np.ndarray, owner: np.ndarray, shingle: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, minimum shingle hash) of all windows of ``run`` words, without repeats in a row.
+def window_signatures(hashes: np.ndarray, owner: np.ndarray, shingle: int, run: int, permutations: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, signature) of all windows of ``run`` words, without repeats in a row.
 
     ``hashes`` are the word hashes of many texts one after another, ``owner`` the position of each word's text.
     """
@@ -57,12 +59,20 @@ def window_signatures(hashes: np.ndarray, owner: np.ndarray, shingle: int, run:
         s ^= s >> np.uint64(31)
         s *= np.uint64(0xBF58476D1CE4E5B9)
         s ^= s >> np.uint64(29)
-    width, low = 1, s
     need = run - shingle + 1
-    while width < need:
-        step = min(width, need - width)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        width += step
+    low = None
+    for p in range(permutations):
+        # another order of the same shingles: multiply by an odd number and mix
+        with np.errstate(over="ignore"):
+            h = s * np.uint64(2 * (0x5851F42D4C957F2D * (p + 1) % 2**61) + 1)
+            h ^= h >> np.uint64(32)
+        width = 1
+        while width < need:
+            step = min(width, need - width)
+            h = np.minimum(h[: len(h) - step], h[step:])
+            width += step
+        with np.errstate(over="ignore"):
+            low = h if low is None else low * np.uint64(0x9E3779B97F4A7C15) + h
     keep = owner[:n] == owner[run - 1 :]
     o, v = owner[:n][keep], low[:n][keep].view(np.int64)
     if len(o):
