@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.config import Config
 from lattica.functions.text import content_hash, stem, strip, word_count
@@ -70,7 +71,10 @@ def _plain(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, default=str, ensure_ascii=False)
 
 
-@F.pandas_udf("struct<ok:boolean,fields:map<string,string>,body:string>")
+_FRONT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType())])
+
+
+@F.pandas_udf(_FRONT)
 def front_matter(text: pd.Series) -> pd.DataFrame:
     """Front matter as a map of strings (lists and maps as JSON) and the rest; text whose YAML is bad stays whole."""
     import yaml

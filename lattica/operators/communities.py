@@ -44,9 +44,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> Data
         return pd.DataFrame({"path": paths, "c": member})
 
     found = und.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "path string, c long").select("path", "c")
-    every = nodes.select("path").distinct().join(found, "path", "left")
-    first = F.min("path").over(Window.partitionBy("c"))
-    return every.select("path", F.when(F.col("c").isNull(), F.col("path")).otherwise(first).alias("community"))
+    named = found.join(found.groupBy("c").agg(F.min("path").alias("first")), "c").select("path", "first")
+    return nodes.select("path").distinct().join(named, "path", "left").select("path", F.coalesce("first", "path").alias("community"))
 
 
 def _move(graph: list[dict[int, float]], resolution: float) -> tuple[list[int], bool]:

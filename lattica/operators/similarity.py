@@ -84,8 +84,8 @@ def semantic_pairs(chunks: DataFrame, min_similarity: float = 0.75, block_rows:
     blocks = max(1, -(-n // block_rows))
     block = F.pmod(F.xxhash64("note"), F.lit(blocks)).cast("int")
     packed = rows.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("note", "v")).alias("rows"))  # about block_rows each
-    left = packed.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), "rows")
-    right = packed.select(F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), "rows")
+    left = packed.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), F.col("rows").alias("left_rows"))
+    right = packed.select(F.col("block").alias("rj"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("ri"), F.col("rows").alias("right_rows"))
 
     def unit(rows) -> tuple[list[str], np.ndarray]:
         x = np.array([list(r["v"]) for r in rows])
@@ -93,13 +93,15 @@ def semantic_pairs(chunks: DataFrame, min_similarity: float = 0.75, block_rows:
         return [r["note"] for r in rows], x / np.where(norm > 0, norm, 1)
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        (na, xa), (nb, xb) = unit(a["rows"].iloc[0]), unit(b["rows"].iloc[0])
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "similarity": pd.Series(dtype=float)})
+        (na, xa), (nb, xb) = unit(a["left_rows"].iloc[0]), unit(b["right_rows"].iloc[0])
         s = xa @ xb.T
         r, c = np.nonzero(s >= min_similarity)
         pairs = [(min(na[i], nb[j]), max(na[i], nb[j]), s[i, j]) for i, j in zip(r, c) if na[i] != nb[j]]
         return pd.DataFrame(pairs, columns=["a", "b", "similarity"]).drop_duplicates(["a", "b"])
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(multiply, "a string, b string, similarity double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(multiply, "a string, b string, similarity double")
 
 
 def semantic_edges(chunks: DataFrame, nodes: DataFrame, min_similarity: float = 0.75, top: int = 10, weight: float = 0.8) -> DataFrame:
