@@ -100,7 +100,10 @@ class StateStore:
 
 
 def stored_state(current_rows: DataFrame, deletions: DataFrame) -> DataFrame:
-    """(key, hash) of stored rows ``(path, content_hash, saved_at)`` that no later deletion removed."""
+    """(key, hash) of stored rows ``(path, content_hash, saved_at)`` that no later deletion removed.
+
+    Paths are unique in ``current_rows``. A row without a saving time stays; deletions without path or time don't count.
+    """
     gone = deletions.where("path is not null").groupBy("path").agg(F.max("deleted_at").alias("_gone"))
     kept = current_rows.join(gone, "path", "left").where("_gone is null or saved_at is null or _gone <= saved_at")
     return kept.select(F.col("path").alias("key"), hex_value(F.col("content_hash")).alias("hash"))

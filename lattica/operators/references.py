@@ -22,17 +22,18 @@ def alive_spans(rows: DataFrame, deletions: DataFrame, hot_rows: int = HOT_ROWS)
     Rows without path or time are dropped: they can't be alive at any time. Columns of ``deletions``
     other than path and deleted_at are ignored.
     """
-    extra = [c for c in rows.columns if c not in ("path", "at")]
+    extra = [c for c in rows.columns if c not in ("path", "at", "until")]
+    keep = F.struct(*[F.col(c) for c in extra], F.lit(True).alias("_row"))  # extra columns ride along, whatever their names
+    live = rows.where("path is not null and at is not null").select("path", "at", keep.alias("_keep"))
     gone = deletions.where("path is not null and deleted_at is not null").select("path", F.col("deleted_at").alias("at")).distinct()
-    live = rows.where("path is not null and at is not null")
     hot = hot_keys(live, "path", hot_rows)
-    points = salt_points(live, "path", hot, ["at", *[c for c in extra if dict(rows.dtypes)[c] != "map"]]).withColumn("_gone", F.lit(None).cast("timestamp"))
+    points = salt_points(live, "path", hot, ["at"]).withColumn("_gone", F.lit(None).cast("timestamp"))
     states = salt_states(gone.withColumn("_gone", F.col("at")), "path", hot)
     long = points.unionByName(states, allowMissingColumns=True)
+    # a deletion at the row's own time is not later than the row: going back in time, rows come first
     w = Window.partitionBy("path", "_salt").orderBy(F.col("at").desc(), F.col("_gone").isNotNull())
-    # a deletion at the row's own time is not later than the row: at equal times rows come first
     marked = long.withColumn("until", F.min("_gone").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.where(F.col("_gone").isNull()).select("path", "at", *extra, "until")
+    return marked.where(F.col("_gone").isNull()).select("path", "at", *[F.col("_keep")[c].alias(c) for c in extra], "until")
 
 
 def orphan_references(parents: DataFrame, children: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -221,13 +221,14 @@ def normalize_times(rows: DataFrame, text: str, vaults: DataFrame, path: str = "
     """
     keep = [c for c in rows.columns if c not in ("utc_us", "status")]
     own = vaults.groupBy(F.col("vault").alias("_vault")).agg(F.min("time_zone").alias("_tz"), F.min("date_order").alias("_order"))
-    placed = rows.select(*keep).withColumn("_seg", F.split_part(F.col(path), F.lit("/"), F.lit(1))).join(F.broadcast(own), F.col("_seg") == F.col("_vault"), "left")
-    parsed = placed.withColumn("_p", _parse(F.col(text), F.col("_order"))).where("_p.local_us is not null")
-    local = parsed.select(*keep, F.col("_p.local_us").alias("_local"), F.col("_p.offset_s").alias("_off"), F.col("_p.abbr").alias("_abbr"), F.coalesce("_p.zone", "_tz", F.lit("UTC")).alias("_zone"))
+    packed = rows.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.col(text).alias("_text"), F.split_part(F.col(path), F.lit("/"), F.lit(1)).alias("_seg"))
+    placed = packed.join(F.broadcast(own), F.col("_seg") == F.col("_vault"), "left")
+    parsed = placed.withColumn("_p", _parse(F.col("_text"), F.col("_order"))).where("_p.local_us is not null")
+    local = parsed.select("_keep", F.col("_p.local_us").alias("_local"), F.col("_p.offset_s").alias("_off"), F.col("_p.abbr").alias("_abbr"), F.coalesce("_p.zone", "_tz", F.lit("UTC")).alias("_zone"))
     fixed = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v * 60))])
     # only rows that name a zone are parsed for this second branch
-    bracket = F.col(text).rlike(r"[A-Za-z]/[A-Za-z]")
-    named = placed.where(bracket).select(_parse(F.col(text), F.col("_order"))["zone"].alias("zone")).where("zone is not null")
+    bracket = F.col("_text").rlike(r"[A-Za-z]/[A-Za-z]")
+    named = placed.where(bracket).select(_parse(F.col("_text"), F.col("_order"))["zone"].alias("zone")).where("zone is not null")
     # at most the names of the tz database: a few hundred zones of a few hundred intervals each
     spans = zone_intervals(named.union(vaults.select("time_zone")).distinct())
     usual = spans.select("zone", "lo", F.explode("matches").alias("m")).groupBy(F.col("zone").alias("_uz"), F.col("m.abbr").alias("_ua")).agg(F.max_by("m.offset_s", "lo").alias("_uo"))
@@ -240,4 +241,4 @@ def normalize_times(rows: DataFrame, text: str, vaults: DataFrame, path: str = "
     n = F.coalesce(F.size("_m"), F.lit(-1))  # -1: no interval is known
     offset = F.coalesce(stated, F.when(n > 0, F.array_max(F.transform("_m", lambda m: m["offset_s"]))), F.col("_before"), F.lit(0))
     status = F.when(stated.isNotNull(), "offset").when(n == 0, "nonexistent").when(n > 1, "ambiguous").otherwise("direct")
-    return placed_in.select(*keep, (F.col("_local") - offset.cast("long") * 1_000_000).alias("utc_us"), status.alias("status"))
+    return placed_in.select(*[F.col("_keep")[c].alias(c) for c in keep], (F.col("_local") - offset.cast("long") * 1_000_000).alias("utc_us"), status.alias("status"))
