@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.config import GraphConfig
 from lattica.functions.text import folder, stem
+from lattica.session import materialize
 
 # Titles of pages that link everything, embeds that are no notes, link targets that are section headings.
 GENERIC_TITLES = (
@@ -80,11 +81,15 @@ def tag_edges(notes: DataFrame, weight: float = 0.5, min_jaccard: float = 0.15,
     left out. Notes meet on shared tags and only in sizes that the threshold allows.
     """
     tagged = notes.where("path is not null").where(~F.coalesce(F.col("title").isin(*GENERIC_TITLES), F.lit(False))).select("path", F.array_distinct(F.filter("tags", lambda t: t.isNotNull())).alias("tags"))
-    long = tagged.select("path", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    a, b = long.select(F.col("path").alias("a"), F.col("n").alias("na"), "tag"), long.select(F.col("path").alias("b"), F.col("n").alias("nb"), "tag")
-    shared = a.join(b, "tag").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= min_jaccard * F.greatest("na", "nb"))).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("i"))
-    scored = shared.withColumn("j", F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).where(F.col("j") >= min_jaccard).select("a", "b", (F.col("j") * weight).alias("weight"))
-    return _both_ways(top_pairs(scored, top), "tag_overlap")
+    # pairs are counted and ranked by numbers in path order; paths come back for the pairs that stay
+    numbered = materialize(tagged.where(F.size("tags") > 0).orderBy("path").withColumn("id", F.monotonically_increasing_id()), "tagged")
+    long = numbered.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
+    a, b = long.select(F.col("id").alias("a"), F.col("n").alias("na"), "tag"), long.select(F.col("id").alias("b"), F.col("n").alias("nb"), "tag")
+    shared = a.join(b, "tag").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= min_jaccard * F.greatest("na", "nb"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"), F.first(F.col("na") + F.col("nb")).alias("n"))
+    scored = shared.withColumn("j", F.col("i") / (F.col("n") - F.col("i"))).where(F.col("j") >= min_jaccard).select("a", "b", (F.col("j") * weight).alias("weight"))
+    names = lambda s: numbered.select(F.col("id").alias(s), F.col("path").alias(f"p{s}"))
+    kept = top_pairs(scored, top).join(names("a"), "a").join(names("b"), "b")
+    return _both_ways(kept.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "weight"), "tag_overlap")
 
 
 def top_pairs(scored: DataFrame, top: int) -> DataFrame:

@@ -9,6 +9,7 @@ from lattica.functions.text import folder, iso_date, token_estimate
 from lattica.operators.centrality import degrees
 from lattica.operators.graph import EXPLICIT, PLACEHOLDER_TITLES
 from lattica.operators.search import keyword_search
+from lattica.session import materialize
 from lattica.operators.traverse import blast_radius, distances, find_node, structural_view
 
 
@@ -63,34 +64,49 @@ def suggest_links(nodes: DataFrame, edges: DataFrame, source: DataFrame | None =
     Candidates of one ``source(path)``, or of all notes that share a tag. Score: twice the tag overlap, plus up to 1 for
     shared neighbours, halved for equal types. Linked pairs, pairs of one folder and placeholder titles are left out.
     """
-    ok = nodes.where(~F.coalesce(F.col("title").isin(*PLACEHOLDER_TITLES), F.lit(False))).select("path", "type", F.array_distinct(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull())).alias("tags"))
-    tags = ok.select("path", F.explode("tags").alias("tag"))
+    tags = F.array_distinct(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()))
+    rows = nodes.where("path is not null").select("path", "type", tags.alias("tags"), folder(F.col("path")).alias("f"), F.coalesce(F.col("title").isin(*PLACEHOLDER_TITLES), F.lit(False)).alias("skip"))
+    # pairs are formed and joined by numbers in path order; paths come back for the result
+    known = materialize(rows.orderBy("path").withColumn("id", F.monotonically_increasing_id()), "known")
+    ok = known.where("not skip")
+    ids = lambda s: known.select(F.col("path").alias(s), F.col("id").alias(f"{s}_id"))
+    links = materialize(edges.select("src", "dst", "type").join(ids("src"), "src").join(ids("dst"), "dst").select(F.col("src_id").alias("s"), F.col("dst_id").alias("d"), "type"), "links")
+    kept = links.where(F.col("type").isin(*EXPLICIT)).where("s <> d")
+    near = kept.select("s", "d").unionByName(kept.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct()
+    tag = ok.select("id", F.explode("tags").alias("tag"))
+    right = tag.withColumnRenamed("id", "b")
     if source is None:
-        a, b = tags.withColumnRenamed("path", "a"), tags.withColumnRenamed("path", "b")
-        shared = a.join(b, "tag").where("a < b")
+        candidates = tag.withColumnRenamed("id", "a").join(right, "tag").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
     else:
-        a, b = tags.join(source.select("path"), "path", "left_semi").withColumnRenamed("path", "a"), tags.withColumnRenamed("path", "b")
-        shared = a.join(b, "tag").where("a <> b")
-    common = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
-    kept = edges.where(F.col("type").isin(*EXPLICIT)).select("src", "dst").where("src <> dst")
-    near = kept.unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    if source is None:
-        candidates = common
-    else:  # without a shared tag, too, a source's candidates can share neighbours
-        first = near.join(source.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("m"))
-        second = first.join(near.select(F.col("src").alias("m"), F.col("dst").alias("b")), "m").where("a <> b").select("a", "b").distinct()
+        own = known.join(source.select("path"), "path", "left_semi").select("id")
+        common = tag.join(own, "id", "left_semi").withColumnRenamed("id", "a").join(right, "tag").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
+        # without a shared tag, too, candidates of a source can share neighbours with it
+        first = near.join(own.withColumnRenamed("id", "s"), "s", "left_semi").select(F.col("s").alias("a"), F.col("d").alias("m"))
+        second = first.join(near.select(F.col("s").alias("m"), F.col("d").alias("b")), "m").where("a <> b").select("a", "b").distinct()
         candidates = common.join(second, ["a", "b"], "full_outer").withColumn("i", F.coalesce("i", F.lit(0)))
-    linked = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
-    free = candidates.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(linked, ["x", "y"], "left_anti").where(folder(F.col("a")) != folder(F.col("b"))).drop("x", "y")
-    mutual = free.select("a", "b").join(near.select(F.col("src").alias("a"), F.col("dst").alias("m")), "a").join(near.select(F.col("src").alias("b"), F.col("dst").alias("m")), ["b", "m"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    side = lambda s: ok.select(F.col("path").alias(s), F.col("type").alias(f"t{s}"), F.size("tags").alias(f"n{s}"))
-    full = free.join(mutual, ["a", "b"], "left").join(side("a"), "a").join(side("b"), "b")
+    side = lambda s: ok.select(F.col("id").alias(s), F.col("type").alias(f"t{s}"), F.size("tags").alias(f"n{s}"), F.col("f").alias(f"f{s}"))
+    full = candidates.join(side("a"), "a").join(side("b"), "b").where("fa <> fb")
     union = F.col("na") + F.col("nb") - F.col("i")
-    score = F.when(union > 0, 2.0 * F.col("i") / union).otherwise(0.0) + F.least(F.coalesce("k", F.lit(0)) * 0.3, F.lit(1.0))
     same = (F.coalesce("ta", F.lit("")) != "") & F.col("ta").eqNullSafe(F.col("tb"))
-    scored = full.withColumn("_s", F.when(same, score * 0.5).otherwise(score)).where(F.col("_s") >= min_score - 1e-12)
-    out = scored.select(F.col("a").alias("source"), F.col("b").alias("target"), F.round("_s", 3).alias("score"), F.col("i").alias("shared_tags"), F.coalesce("k", F.lit(0)).alias("shared_neighbours"))
-    return out.orderBy(F.col("score").desc(), "source", "target").limit(top_n) if top_n else out
+    rated = full.select("a", "b", "i", F.when(same, 0.5).otherwise(1.0).alias("part"), F.when(union > 0, 2.0 * F.col("i") / union).otherwise(0.0).alias("by_tags"))
+    linked = links.select(F.least("s", "d").alias("x"), F.greatest("s", "d").alias("y")).distinct()
+    free = rated.where(F.col("part") * (F.col("by_tags") + 1.0) >= min_score - 1e-12).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(linked, ["x", "y"], "left_anti").drop("x", "y")
+    if top_n:
+        # neighbours add at most 1, so pairs that even then stay behind the top_n best by tags alone need no look at neighbours
+        free = materialize(free, "free")
+        score = F.col("part") * F.col("by_tags")
+        best = free.select(score.alias("v")).orderBy(F.col("v").desc()).limit(top_n).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).first()
+        if best["n"] == top_n:
+            free = free.where(F.col("part") * (F.col("by_tags") + 1.0) >= best["v"] - 1e-9)
+    mutual = free.select("a", "b").join(near.select(F.col("s").alias("a"), F.col("d").alias("m")), "a").join(near.select(F.col("s").alias("b"), F.col("d").alias("m")), ["b", "m"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    shared = F.coalesce("k", F.lit(0))
+    scored = free.join(mutual, ["a", "b"], "left").withColumn("_s", F.col("part") * (F.col("by_tags") + F.least(shared * 0.3, F.lit(1.0)))).where(F.col("_s") >= min_score - 1e-12)
+    short = scored.select("a", "b", F.round("_s", 3).alias("score"), F.col("i").alias("shared_tags"), shared.alias("shared_neighbours"))
+    if top_n:
+        short = short.orderBy(F.col("score").desc(), "a", "b").limit(top_n)
+    names = lambda s, n: known.select(F.col("id").alias(s), F.col("path").alias(n))
+    out = short.join(names("a", "source"), "a").join(names("b", "target"), "b").select("source", "target", "score", "shared_tags", "shared_neighbours")
+    return out.orderBy(F.col("score").desc(), "source", "target")
 
 
 def surprising_connections(nodes: DataFrame, edges: DataFrame, top_n: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import parse, text
 from lattica.operators import centrality, communities, graph, incremental, insights, search, similarity, sinks, traverse
+from lattica.session import materialize
 from lattica.sources.tables import current_nodes, successful_runs, table
 from lattica.streaming.watch import debounce
 
@@ -40,9 +41,12 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, none) for c in ("tags", "headings")})
 
 
-def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph(spark: SparkSession, d: str, written: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and broken links; ``written`` puts nodes and edges down first, for operators that read them many times."""
     nodes = _nodes(spark, d)
-    return (nodes, *graph.stored_graph(nodes, table(spark, d, "edges")))
+    nodes = materialize(nodes, "nodes") if written else nodes
+    edges, broken = graph.stored_graph(nodes, table(spark, d, "edges"))
+    return nodes, materialize(edges, "edges") if written else edges, broken
 
 
 def _notes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -80,7 +84,7 @@ def orphans(spark, d):
 
 def bridges_betweenness(spark, d):
     """Betweenness of all notes, from 100 sources drawn by hash."""
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return centrality.bridges(nodes, edges, 20, sources=100)
 
 
@@ -108,7 +112,7 @@ def drift(spark, d):
 
 
 def _blast(spark, d, depth, threshold=0.3, direction="both"):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return traverse.blast_radius(edges, _seed(nodes), depth, threshold, direction).select("path", "relevance", "distance")
 
 
@@ -129,17 +133,17 @@ def blast_radius_in(spark, d):
 
 
 def traverse_out(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return traverse.traverse(edges, _seed(nodes), 2, "out")
 
 
 def traverse_structural(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return traverse.traverse(edges, _seed(nodes), 2, "structural")
 
 
 def shortest_path_hops(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return traverse.shortest_path(nodes, edges, _seed(nodes), _seed(nodes, OTHER)).select("hops")
 
 
@@ -173,22 +177,22 @@ def folder_edges(spark, d):
 
 
 def suggest_links(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return insights.suggest_links(nodes, edges, _seed(nodes), 20)
 
 
 def suggest_links_global(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return insights.suggest_links(nodes, edges, None, 20)
 
 
 def surprising_connections(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return insights.surprising_connections(nodes, edges)
 
 
 def context_pack(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return insights.context_pack(nodes, edges, SEED, 4000).select("path", "relevance", "word_count", "estimated_tokens")
 
 
@@ -203,7 +207,7 @@ def keyword_search_bodies(spark, d):
 
 
 def communities_louvain(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     return communities.louvain(nodes, edges)
 
 
@@ -213,14 +217,14 @@ def _given(nodes: DataFrame) -> DataFrame:
 
 
 def community_profile(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     p = communities.profiles(nodes, _given(nodes), edges)
     return p.withColumns({c: F.array_join(c, "|") for c in ("top_tags", "top_types")})
 
 
 def gaps_given_communities(spark, d):
     """Pairs of folders (vault and kind) that share top tags but have at most two edges between them."""
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges, _ = _graph(spark, d, written=True)
     members = nodes.select("path", text.folder(F.col("path")).alias("community"))
     return communities.gaps(communities.profiles(nodes, members, edges), members, edges).withColumn("shared_tags", F.array_join("shared_tags", "|"))
 
