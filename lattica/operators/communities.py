@@ -20,7 +20,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> Data
     """
     und = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("w"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         paths = sorted(set(pdf["a"]) | set(pdf["b"]))
         code = {p: i for i, p in enumerate(paths)}
         graph: list[dict[int, float]] = [{} for _ in paths]

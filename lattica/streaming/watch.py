@@ -19,8 +19,9 @@ def debounce(events: DataFrame, gap: str = "2 seconds", late: str = "10 seconds"
     """
     if events.isStreaming:
         events = events.withWatermark("ts", late)
-    session = F.session_window("ts", gap)
-    groups = events.groupBy(session, *([key] if key else []))
+    # a stream's sessions need a second key; this one is 0 for every row, but no literal that the optimizer would drop
+    same = F.coalesce(F.pmod(F.length("path"), F.lit(1)), F.lit(0)).alias("_all")
+    groups = events.groupBy(F.session_window("ts", gap), key or same)
     out = groups.agg(F.count(F.lit(1)).alias("events"), F.array_sort(F.collect_set("path")).alias("paths"))
     return out.select(*([key] if key else []), F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "events", "paths")
 
