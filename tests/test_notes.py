@@ -42,7 +42,7 @@ def test_parse_notes(spark):
     assert n["tags"] == ["alpha", "beta gamma", "inline", "täg/sub"] or n["tags"] == ["alpha", "beta gamma", "inline"]
     assert n["related_to"] == ["Other", "Plain"] and n["aliases"] == ["Nick"] and n["frontmatter"]["count"] == "3" and len(n["content_hash"]) == 16
     b = got["bad.md"]
-    assert b["parse_error"] and b["title"] == "bad" and b["wikilinks"] == [] and b["tags"] == [] and b["word_count"] == 6
+    assert b["parse_error"] and b["title"] == "bad" and b["wikilinks"] == [] and b["tags"] == [] and b["word_count"] == 7
     assert got["none.md"]["parse_error"] and got["plain.md"]["word_count"] == 3 and got["plain.md"]["type"] == "note" and got["e.md"]["title"] == "e"
 
 
