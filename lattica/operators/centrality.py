@@ -24,12 +24,13 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, broken: DataFrame | None = N
     ends = edges.select(F.explode(F.array("src", "dst")).alias("path"))
     if broken is not None:
         ends = ends.unionByName(broken.select(F.col("src").alias("path")))
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    n_broken = one(broken, "broken_count") if broken is not None else nodes.sparkSession.createDataFrame([(0,)], "broken_count long")
-    counts = one(nodes, "node_count").join(one(edges, "_e")).join(one(nodes.join(ends.distinct(), "path", "left_anti"), "orphan_count")).join(n_broken)  # single rows
-    total = F.col("_e") + F.col("broken_count")
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    lone = count(nodes.join(ends.distinct(), "path", "left_anti"))
+    n_broken = count(broken) if broken is not None else F.lit(0).cast("long")
+    one = nodes.sparkSession.range(1).select(count(nodes).alias("node_count"), (count(edges) + n_broken).alias("edge_count"), lone.alias("orphan_count"), n_broken.alias("broken_count"))
     pairs = F.col("node_count") * (F.col("node_count") - 1)
-    return counts.select("node_count", total.alias("edge_count"), "orphan_count", F.round(F.when(pairs > 0, total / pairs).otherwise(0.0), 6).alias("density"), "broken_count")
+    density = F.round(F.when(pairs > 0, F.col("edge_count") / pairs).otherwise(0.0), 6)
+    return one.select("node_count", "edge_count", "orphan_count", density.alias("density"), "broken_count")
 
 
 def edge_type_counts(edges: DataFrame) -> DataFrame:
@@ -38,8 +39,8 @@ def edge_type_counts(edges: DataFrame) -> DataFrame:
 
 def hubs(nodes: DataFrame, edges: DataFrame, top_n: int = 20) -> DataFrame:
     """(path, title, degree, centrality) of the notes with most edge ends."""
-    n = nodes.agg(F.count(F.lit(1)).alias("_n"))
-    with_degree = nodes.select("path", "title").join(degrees(edges), "path", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).join(F.broadcast(n))  # single row
+    n = nodes.agg(F.count(F.lit(1))).scalar()
+    with_degree = nodes.select("path", "title").join(degrees(edges), "path", "left").select("path", "title", F.coalesce("degree", F.lit(0)).alias("degree"), n.alias("_n"))
     score = F.when(F.col("_n") > 1, F.round(F.col("degree") / (F.col("_n") - 1), 6)).otherwise(1.0)
     return with_degree.select("path", "title", "degree", score.alias("centrality")).orderBy(F.col("centrality").desc(), "path").limit(top_n)
 

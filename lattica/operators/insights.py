@@ -127,8 +127,7 @@ def context_pack(nodes: DataFrame, edges: DataFrame, topic: str, token_budget: i
         seed = keyword_search(nodes, topic, 1).select("path")
     reached = blast_radius(edges, seed, depth, 0.1).select("path", "relevance", "distance").unionByName(seed.select("path", F.lit(1.0).alias("relevance"), F.lit(0).alias("distance")))
     degree = degrees(edges)
-    most = degree.agg(F.max("degree").alias("_most"))
-    rows = reached.join(nodes.select("path", "title", "word_count", "tags"), "path").join(degree, "path", "left").join(F.broadcast(most))  # single row
+    rows = reached.join(nodes.select("path", "title", "word_count", "tags"), "path").join(degree, "path", "left").withColumn("_most", degree.agg(F.max("degree")).scalar())
     sized = rows.withColumn("estimated_tokens", token_estimate(F.col("word_count")))
     # the pack is one ordered list; only notes reached from one seed are in it
     order = Window.orderBy(F.col("distance") > 0, F.col("relevance").desc(), "distance", "path").rowsBetween(Window.unboundedPreceding, -1)

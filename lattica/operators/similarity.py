@@ -53,10 +53,10 @@ def note_vectors(chunks: DataFrame) -> DataFrame:
 
 def embed_status(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: total_notes, embedded_notes, chunks, coverage_pct, ready."""
-    have = chunks.agg(F.countDistinct("note").alias("embedded_notes"), F.count(F.lit(1)).alias("chunks"))
-    both = nodes.agg(F.count(F.lit(1)).alias("total_notes")).join(have)  # single rows
+    total = nodes.agg(F.count(F.lit(1))).scalar()
+    both = chunks.agg(F.countDistinct("note").alias("embedded_notes"), F.count(F.lit(1)).alias("chunks")).withColumn("total_notes", total)
     pct = F.when(F.col("total_notes") > 0, F.round(100.0 * F.col("embedded_notes") / F.col("total_notes"), 1)).otherwise(0.0)
-    return both.withColumn("coverage_pct", pct).withColumn("ready", (F.col("embedded_notes") > 0) & (F.col("coverage_pct") >= 80))
+    return both.select("total_notes", "embedded_notes", "chunks").withColumn("coverage_pct", pct).withColumn("ready", (F.col("embedded_notes") > 0) & (F.col("coverage_pct") >= 80))
 
 
 def semantic_search(chunks: DataFrame, query: list[float], nodes: DataFrame, limit: int = 10, subfolder: str = "", prefilter: bool = False) -> DataFrame:
