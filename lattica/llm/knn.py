@@ -1,8 +1,9 @@
 """Most similar vectors for every vector, by exact L2 distance.
 
 Block matrix join: vectors are quantised to int8 with one scale each and packed into blocks; tiles of int8
-products give distances that are off by at most the two quantisation errors; pairs that these bounds can't rule out
-are recomputed in float and merged per vector. Products of int8 codes are taken by the float matrix product,
+products give distances that are off by at most the two quantisation errors. Pairs that these bounds can't rule out
+are narrowed by a second int8 plane, which holds what the first one lost; the few that are left are recomputed in
+float and merged per vector. Products of int8 codes are taken by the float matrix product,
 which is far faster in NumPy than its integer one.
 """
 
@@ -18,9 +19,14 @@ from pyspark.sql import functions as F
 
 from lattica.session import materialize
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 #: Blocks that one task holds against its query block.
-STRIPE_BLOCKS = 16
+STRIPE_BLOCKS = 8
+#: Columns of one tile, and pairs that are narrowed at once: these bound a task's memory.
+TILE_COLUMNS = 2048
+NARROW_PAIRS = 100_000
+#: Steps of the second plane in one of the first.
+FINER = 254
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -50,29 +56,40 @@ def vector_groups(vectors: DataFrame, key: str, k: int) -> tuple[DataFrame, Data
 
 
 def pack_blocks(groups: DataFrame, dim: int, block_rows: int) -> tuple[DataFrame, int]:
-    """One row per block of vectors: ids, int8 codes, scales and errors as bytes."""
+    """One row per block of vectors: ids, two planes of int8 codes, scales and both errors as bytes."""
     count = groups.count()
     blocks = max(1, -(-count // block_rows))
-    schema = "block int, ids binary, codes binary, scale binary, err binary"
+    schema = "block int, ids binary, codes binary, fine binary, scale binary, err binary, fine_err binary"
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         scale = (np.abs(x).max(1) / 127).astype(np.float32)
         scale = np.where(scale > 0, scale, np.float32(1e-38)).astype(np.float32)
-        codes = np.clip(np.rint(x / scale[:, None].astype(np.float64)), -127, 127).astype(np.int8)
-        err = np.linalg.norm(x - codes * scale[:, None].astype(np.float64), axis=1) * (1 + 1e-9)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["vid"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "scale": [scale.tobytes()], "err": [err.tobytes()]})
+        step = scale[:, None].astype(np.float64)
+        codes = np.clip(np.rint(x / step), -127, 127).astype(np.int8)
+        rest = x - codes * step
+        fine = np.clip(np.rint(rest / (step / FINER)), -127, 127).astype(np.int8)
+        size = lambda v: (np.linalg.norm(v, axis=1) * (1 + 1e-9)).tobytes()
+        ids = pdf["vid"].to_numpy(np.int64).tobytes()
+        row = [pdf["block"].iloc[0], ids, codes.tobytes(), fine.tobytes(), scale.tobytes(), size(rest), size(rest - fine * (step / FINER))]
+        return pd.DataFrame([row], columns=["block", "ids", "codes", "fine", "scale", "err", "fine_err"])
 
     placed = groups.select("vid", "v", F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int").alias("block"))
     return materialize(placed.groupBy("block").applyInPandas(pack, schema), "blocks"), blocks
 
 
-def _unpack(row, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, vectors as their quantised values, half squared norms, errors."""
-    ids = np.frombuffer(row["ids"], np.int64)
-    codes = np.frombuffer(row["codes"], np.int8).reshape(len(ids), dim).astype(np.float32)
-    x = codes * np.frombuffer(row["scale"], np.float32)[:, None]
-    return ids, x, (x.astype(np.float64) ** 2).sum(1) / 2, np.frombuffer(row["err"], np.float64)
+class _Block:
+    """A block's ids, quantised values, half squared norms and errors; ``near`` adds the second plane."""
+
+    def __init__(self, row, dim: int):
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        n = len(self.ids)
+        scale = np.frombuffer(row["scale"], np.float32)[:, None]
+        self.x = np.frombuffer(row["codes"], np.int8).reshape(n, dim).astype(np.float32) * scale
+        self.near = self.x + np.frombuffer(row["fine"], np.int8).reshape(n, dim).astype(np.float32) * (scale / np.float32(FINER))
+        self.half = (self.x.astype(np.float64) ** 2).sum(1) / 2
+        self.norm = np.sqrt(2 * self.half)
+        self.err, self.near_err = np.frombuffer(row["err"], np.float64), np.frombuffer(row["fine_err"], np.float64)
 
 
 def _ranks(rows: np.ndarray) -> np.ndarray:
@@ -82,52 +99,59 @@ def _ranks(rows: np.ndarray) -> np.ndarray:
     return np.arange(len(rows)) - np.repeat(at, np.diff(np.r_[at, len(rows)]))
 
 
+def _narrow(q: _Block, c: _Block, r: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds on the true distances of pairs, from both planes."""
+    low, high = np.empty(len(r)), np.empty(len(r))
+    for a in range(0, len(r), NARROW_PAIRS):
+        i, k = r[a : a + NARROW_PAIRS], j[a : a + NARROW_PAIRS]
+        diff = q.near[i] - c.near[k]
+        d = np.sqrt(np.einsum("ij,ij->i", diff, diff).astype(np.float64))
+        # rounding of float32 values, differences and sums
+        e = q.near_err[i] + c.near_err[k] + 4e-7 * (q.norm[i] + c.norm[k]) + 1e-5 * d
+        low[a : a + NARROW_PAIRS], high[a : a + NARROW_PAIRS] = d - e, d + e
+    return low, high
+
+
 def tile_candidates(q_row, c_rows: list, k: int, dim: int) -> pd.DataFrame:
     """Pairs (vid, other, low, high) of a query block and a stripe of blocks that the error bounds can't rule out.
 
-    low and high bound the true distance. Each query keeps the k smallest upper bounds seen so far, and a pair goes
-    on only if its lower bound is not above the k-th of them.
+    low and high bound the true distance. Each query keeps the k-th smallest upper bound seen so far, and a pair goes
+    on only if its lower bound is not above it.
     """
-    ids, q, q_half, q_err = _unpack(q_row, dim)
-    n = len(ids)
-    q1 = np.hstack([q, np.ones((n, 1), np.float32)])
-    limit = np.full(n, np.inf)
+    q = _Block(q_row, dim)
+    n = len(q.ids)
+    q1 = np.hstack([q.x, np.ones((n, 1), np.float32)])
+    bound = np.full(n, np.inf)
     rows, other, low, high = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
     for c_row in c_rows:
-        c_ids, c, c_half, c_err = _unpack(c_row, dim)
-        same = q_row["block"] == c_row["block"]
+        c = _Block(c_row, dim)
+        c1 = np.hstack([c.x, -c.half[:, None].astype(np.float32)])
         # rounding of float32 sums of dim products
-        slack = 2e-6 * dim**0.5 * (np.sqrt(2 * q_half) + np.sqrt(2 * c_half.max())) ** 2
-        score = q1 @ np.hstack([c, -c_half[:, None].astype(np.float32)]).T
-        if same:
-            np.fill_diagonal(score, -np.inf)
-        if not np.isfinite(limit).all():
-            part = score[:, : max(512, 4 * k)]
-            if part.shape[1] > k:
+        slack = 2e-6 * dim**0.5 * (q.norm + c.norm.max()) ** 2
+        for at in range(0, len(c.ids), TILE_COLUMNS):
+            score = q1 @ c1[at : at + TILE_COLUMNS].T
+            if q_row["block"] == c_row["block"]:
+                own = np.arange(at, min(at + score.shape[1], n))
+                score[own, own - at] = -np.inf
+            if not np.isfinite(bound).all() and (part := score[:, : max(512, 4 * k)]).shape[1] > k:
                 kth = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k].astype(np.float64)
-                d2 = np.maximum(2 * q_half - 2 * kth, 0) + slack
-                limit = np.minimum(limit, np.where(np.isfinite(kth), np.sqrt(d2) + c_err.max(), np.inf))
-        reach = limit + 2 * q_err + c_err.max()
-        floor = np.where(np.isfinite(reach), q_half - (reach**2 + slack) / 2, -np.inf)
-        floor = np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
-        flat = np.flatnonzero(score >= floor[:, None])
-        r, j = np.divmod(flat, score.shape[1])
-        s = score.ravel()[flat].astype(np.float64)
-        ok = np.isfinite(s)
-        r, j, s = r[ok], j[ok], s[ok]
-        d2 = 2 * q_half[r] - 2 * s
-        lo = np.sqrt(np.maximum(d2 - slack[r], 0)) - q_err[r] - c_err[j]
-        hi = np.sqrt(np.maximum(d2, 0) + slack[r]) + q_err[r] + c_err[j]
-        rows, other, low, high = np.r_[rows, r], np.r_[other, c_ids[j]], np.r_[low, lo], np.r_[high, hi]
-        order = np.lexsort((high, rows))
-        rows, other, low, high = rows[order], other[order], low[order], high[order]
-        kth_at = np.flatnonzero(_ranks(rows) == k - 1)
-        bound = np.full(n, np.inf)
-        bound[rows[kth_at]] = high[kth_at]
-        limit = np.minimum(limit, bound - q_err)
-        keep = low <= bound[rows]
-        rows, other, low, high = rows[keep], other[keep], low[keep], high[keep]
-    return pd.DataFrame({"vid": ids[rows], "other": other, "low": low, "high": high})
+                d2 = np.maximum(2 * q.half - 2 * kth, 0) + slack
+                bound = np.minimum(bound, np.where(np.isfinite(kth), np.sqrt(d2) + q.err + c.err.max(), np.inf))
+            reach = bound + q.err + c.err.max()
+            floor = np.where(np.isfinite(reach), q.half - (reach**2 + slack) / 2, -np.inf)
+            floor = np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
+            r, j = np.divmod(np.flatnonzero(score >= floor[:, None]), score.shape[1])
+            ok = np.isfinite(score[r, j])
+            r, j = r[ok], j[ok] + at
+            lo, hi = _narrow(q, c, r, j)
+            rows, other, low, high = np.r_[rows, r], np.r_[other, c.ids[j]], np.r_[low, lo], np.r_[high, hi]
+            order = np.lexsort((high, rows))
+            rows, other, low, high = rows[order], other[order], low[order], high[order]
+            kth_at = np.flatnonzero(_ranks(rows) == k - 1)
+            bound[rows[kth_at]] = np.minimum(bound[rows[kth_at]], high[kth_at])
+            keep = low <= bound[rows]
+            rows, other, low, high = rows[keep], other[keep], low[keep], high[keep]
+    return pd.DataFrame({"vid": q.ids[rows], "other": other, "low": low, "high": high})
 
 
 def _float_distances(pairs: DataFrame, groups: DataFrame, dim: int) -> DataFrame:
