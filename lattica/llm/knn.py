@@ -30,29 +30,31 @@ FINER = 254
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(key, v): one vector per key. Null keys and vectors, other lengths, non-finite and zero vectors are left out.
+    """(key, v, h1, h2): usable rows and a 128-bit hash of their vectors.
 
-    Of several usable vectors of one key the smallest in array order counts.
+    Null keys and vectors, other lengths, null or non-finite values and zero vectors are left out. 0.0 and -0.0 hash alike.
     """
     v = F.col(vector)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    # -0.0 and 0.0 are one value: adding 0 makes copies of a vector equal
-    clean = F.transform(v, lambda x: (x + F.lit(0.0)).cast("float"))
-    return rows.where(F.col(key).isNotNull() & (F.size(v) == dim)).where(fine).select(key, clean.alias("v")).groupBy(key).agg(F.min("v").alias("v"))
+    top, bottom = F.array_max(v), F.array_min(v)  # NaN counts as larger than infinity
+    fine = (F.size(F.array_compact(v)) == dim) & (top < float("inf")) & (bottom > float("-inf")) & ((top != 0) | (bottom != 0))
+    return rows.where(F.col(key).isNotNull() & (F.size(v) == dim)).where(fine).select(key, v.cast("array<float>").alias("v"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("second"), v).alias("h2"))
 
 
 def vector_groups(vectors: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Exact copies in one group: (vid, v, n, heads) and (vid, key).
+    """Exact copies in one group: (vid, v, n, heads) and, of groups with several keys, (vid, key).
 
-    vid follows the order of the groups' first keys; heads are the first k + 1 keys of the group.
+    A key with several vectors counts with that of the smallest hash. vid follows the order of the groups' first keys;
+    heads are the first k + 1 keys of a group. Grouping moves keys and hashes; vectors are shuffled once.
     """
     vectors = materialize(vectors, "vectors")
-    w = Window.partitionBy("v").orderBy(key)
-    heads = vectors.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(key)).alias("heads"))
-    counts = vectors.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    groups = heads.join(counts, "v").orderBy(F.col("heads")[0]).withColumn("vid", F.monotonically_increasing_id()).select("vid", "v", "n", "heads")
-    groups = materialize(groups, "groups")
-    return groups, vectors.join(groups.where("n > 1").select("v", "vid"), "v").select("vid", key)
+    members = materialize(vectors.groupBy(key).agg(F.min_by("h2", "h1").alias("h2"), F.min("h1").alias("h1")), "members")
+    first = members.withColumn("_r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))).where(F.col("_r") <= k + 1)
+    heads = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(key)).alias("heads"))
+    counts = members.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    light = heads.join(counts, ["h1", "h2"]).withColumn("_first", F.col("heads")[0])
+    filled = vectors.select(F.col(key).alias("_first"), "h1", "h2", "v").join(light, ["_first", "h1", "h2"]).dropDuplicates(["_first"])
+    groups = materialize(filled.orderBy("_first").select(F.monotonically_increasing_id().alias("vid"), "v", "n", "heads", "h1", "h2"), "groups")
+    return groups, members.join(groups.where("n > 1").select("h1", "h2", "vid"), ["h1", "h2"]).select("vid", key)
 
 
 def pack_blocks(groups: DataFrame, dim: int, block_rows: int) -> tuple[DataFrame, int]:
