@@ -84,8 +84,17 @@ def tag_edges(notes: DataFrame, weight: float = 0.5, min_jaccard: float = 0.15,
     # pairs are counted and ranked by numbers in path order; paths come back for the pairs that stay
     numbered = materialize(tagged.where(F.size("tags") > 0).orderBy("path").withColumn("id", F.monotonically_increasing_id()), "tagged")
     long = numbered.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    a, b = long.select(F.col("id").alias("a"), F.col("n").alias("na"), "tag"), long.select(F.col("id").alias("b"), F.col("n").alias("nb"), "tag")
-    shared = a.join(b, "tag").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= min_jaccard * F.greatest("na", "nb"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"), F.first(F.col("na") + F.col("nb")).alias("n"))
+    # rare tags first: a pair that needs o shared tags shares one within the first size - o + 1 tags of both, so
+    # frequent tags, which come last, bring together only pairs that can do with few shared tags
+    counts = long.groupBy("tag").agg(F.count(F.lit(1)).alias("c"))
+    ranked = long.join(counts, "tag").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "tag"))), lambda t: t["tag"]).alias("tags"))
+    placed = materialize(ranked, "ranked").select("id", "n", F.posexplode("tags").alias("pos", "tag"))
+    a, b = (placed.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"x{s}"), "tag") for s in "ab")
+    need = F.ceil(F.lit(min_jaccard / (1 + min_jaccard)) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= min_jaccard * F.greatest("na", "nb")) & (F.col("xa") <= F.col("na") - need) & (F.col("xb") <= F.col("nb") - need)
+    sets = lambda s: numbered.select(F.col("id").alias(s), F.col("tags").alias(f"t{s}"))
+    pairs = a.join(b, "tag").where(near).select("a", "b").distinct().join(sets("a"), "a").join(sets("b"), "b")
+    shared = pairs.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), (F.size("ta") + F.size("tb")).alias("n"))
     scored = shared.withColumn("j", F.col("i") / (F.col("n") - F.col("i"))).where(F.col("j") >= min_jaccard).select("a", "b", (F.col("j") * weight).alias("weight"))
     names = lambda s: numbered.select(F.col("id").alias(s), F.col("path").alias(f"p{s}"))
     kept = top_pairs(scored, top).join(names("a"), "a").join(names("b"), "b")
