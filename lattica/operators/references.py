@@ -129,9 +129,14 @@ def orphan_links(parsed_notes: DataFrame, nodes: DataFrame, edges: DataFrame, de
     return found.select("ref.field", "ref.src", "ref.target", "at")
 
 
+def utc_month(at) -> F.Column:
+    """yyyy-MM of an instant in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM")
+
+
 def orphan_counts(orphans: DataFrame) -> DataFrame:
     """Orphans per referring field and UTC month: rows, and distinct missing targets."""
     return (
-        orphans.groupBy("field", F.date_format("at", "yyyy-MM").alias("period"), "target").agg(F.count(F.lit(1)).alias("n"))
+        orphans.groupBy("field", utc_month(F.col("at")).alias("period"), "target").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("field", "period").agg(F.sum("n").alias("references"), F.count(F.lit(1)).alias("targets"))
     )

@@ -23,7 +23,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """References that led nowhere when they were recorded, one row per source, target and month."""
-    return _orphans(spark, d).select("field", "src", "target", F.date_format("at", "yyyy-MM").alias("period")).distinct()
+    return _orphans(spark, d).select("field", "src", "target", references.utc_month(F.col("at")).alias("period")).distinct()
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:

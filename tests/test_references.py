@@ -83,3 +83,16 @@ def test_orphans_of_empty_tables(spark):
 def test_orphan_counts(spark):
     df = spark.createDataFrame([("dst", "a", "x", T0), ("dst", "b", "x", T0 + DAY), ("dst", "a", "y", T0 + 40 * DAY)], "field string, src string, target string, at timestamp")
     assert sorted(map(tuple, R.orphan_counts(df).collect())) == [("dst", "2025-01", 2, 1), ("dst", "2025-02", 1, 1)]
+
+
+def test_months_are_utc_in_any_session(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.timestamp_seconds(F.lit(1738367999)).alias("at"))  # 2025-01-31T23:59:59Z
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert df.select(R.utc_month(F.col("at"))).first()[0] == "2025-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
