@@ -100,6 +100,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
+    "p5_found": """
+WITH u AS (SELECT path, min(embedding::DOUBLE[]) v FROM vec_embeddings WHERE path IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY path),
+     r AS (SELECT a.path p, b.path q, row_number() OVER (PARTITION BY a.path ORDER BY list_distance(a.v, b.v), b.path) k FROM u a JOIN u b ON a.path <> b.path)
+SELECT DISTINCT least(p, q) path_a, greatest(p, q) path_b FROM r WHERE k <= 5""",
+    "p10_found": """
+WITH t AS (SELECT doc_id, text, regexp_replace(text, '([\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}]\\x{FE0F}?)\\x{200D}', '\\1', 'g') x FROM documents WHERE text IS NOT NULL),
+     k AS (SELECT doc_id, list_filter([
+       CASE WHEN regexp_matches(text, '[\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{FB00}-\\x{FB06}\\x{1D400}-\\x{1D7FF}]') THEN 'form' END,
+       CASE WHEN len(list_filter(regexp_extract_all(text, '\\p{L}\\p{M}+'), lambda m: length(nfc_normalize(m)) < length(m))) > 0 THEN 'combining' END,
+       CASE WHEN regexp_matches(x, '[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]') THEN 'invisible' END,
+       CASE WHEN regexp_matches(text, '[\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]') THEN 'space' END,
+       CASE WHEN regexp_matches(regexp_replace(x, '[\\x{AD}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g'), '\\p{Latin}\\p{N}*[\\p{Cyrillic}\\p{Greek}]|[\\p{Cyrillic}\\p{Greek}]\\p{N}*\\p{Latin}') THEN 'lookalike' END
+     ], lambda y: y IS NOT NULL) kinds FROM t)
+SELECT DISTINCT doc_id, unnest(kinds) kind FROM k""",
     "p2_found": """
 SELECT DISTINCT note_id, 'split' kind FROM parsed_notes WHERE length(body) > 1600
 UNION SELECT note_id, 'hard' FROM (SELECT note_id, unnest(regexp_split_to_array(body, '[\\s.!?;,。！？；，、]')) run FROM parsed_notes) WHERE length(run) > 1600""",
