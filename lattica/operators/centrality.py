@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import EXPLICIT
+from lattica.session import discard, materialize
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -51,63 +52,67 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "path", "left_anti").select("path", "title").orderBy("title", "path")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: int | None = None, seed: int = 42, max_edges: int = 20_000_000) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: int | None = None, seed: int = 42, batch_rows: int = 20_000_000) -> DataFrame:
     """(path, betweenness): normalised shortest-path betweenness over explicit links, undirected.
 
-    Sources are spread over tasks; each task holds the adjacency, which is why graphs above ``max_edges`` are refused.
-    With ``sources``, that many are drawn by a seeded hash and the result scaled up. Fewer than 3 notes give no rows.
+    Brandes' algorithm by levels: each level of the searches from all sources of a batch is one join of written tables, and
+    credit goes back the same way. Sources are taken in batches of about ``batch_rows`` pairs of source and note, which bounds
+    what lies on disk at a time; no link reaches the driver, and no size is refused. Exact unless ``sources`` is given: then
+    that many are drawn by a seeded hash and the result is scaled up. Fewer than 3 notes give no rows.
     """
     spark = nodes.sparkSession
     links = edges.where(F.col("type").isin(*EXPLICIT)).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    ids = nodes.select("path").distinct()
-    n, m = ids.count(), links.count()
-    schema = "path string, betweenness double"
-    if n < 3 or not m:
-        return spark.createDataFrame([], schema)
-    if m > max_edges:
-        raise ValueError(f"{m} links are more than max_edges; sample or cut the graph first")
-    adjacency: dict[str, list[str]] = {}
-    for a, b in links.toLocalIterator():
-        adjacency.setdefault(a, []).append(b)
-        adjacency.setdefault(b, []).append(a)
-    order = {p: i for i, p in enumerate(sorted(adjacency))}
-    shared = spark.sparkContext.broadcast([[order[x] for x in adjacency[p]] for p in order])
+    ids = materialize(nodes.select("path").distinct(), "ids")
+    links = materialize(links, "links")
+    n = ids.count()
+    if n < 3 or not links.take(1):
+        return spark.createDataFrame([], "path string, betweenness double")
     linked = links.select(F.explode(F.array("a", "b")).alias("path")).distinct()
+    codes = materialize(linked.withColumn("code", F.monotonically_increasing_id()), "codes")
+    side = lambda c: codes.select(F.col("path").alias(c), F.col("code").alias(f"_{c}"))
+    coded = links.join(side("a"), "a").join(side("b"), "b").select("_a", "_b")
+    steps = materialize(coded.unionByName(coded.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))), "steps")
     if sources and sources < n:
         drawn = ids.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(sources)
         scale = n / sources
     else:
         drawn, scale = ids, 1.0
-    codes = spark.createDataFrame([(p, i) for p, i in order.items()], "path string, code long")
-    starts = drawn.join(linked, "path", "left_semi").join(codes, "path").select("code").repartition(spark.sparkContext.defaultParallelism)
-
-    def brandes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
-        total = [0.0] * len(near)
-        for batch in batches:
-            for s in batch["code"]:
-                dist, ways, before, queue = {s: 0}, {s: 1.0}, {s: []}, [s]
-                for v in queue:
-                    for w in near[v]:
-                        if w not in dist:
-                            dist[w], ways[w], before[w] = dist[v] + 1, 0.0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                credit = dict.fromkeys(queue, 0.0)
-                for w in reversed(queue):
-                    for v in before[w]:
-                        credit[v] += ways[v] / ways[w] * (1 + credit[w])
-                    if w != s:
-                        total[w] += credit[w]
-        yield pd.DataFrame({"code": range(len(total)), "credit": total})
-
-    sums = starts.mapInPandas(brandes, "code long, credit double").groupBy("code").agg(F.sum("credit").alias("credit"))
-    scored = sums.join(codes, "code").select("path", (F.col("credit") * scale / ((n - 1) * (n - 2))).alias("betweenness"))
+    starts = drawn.join(codes, "path").select(F.col("code").alias("s"))
+    batches = math.ceil(min(sources or n, n) * codes.count() / batch_rows)
+    starts = materialize(starts.withColumn("batch", F.pmod(F.xxhash64("s"), F.lit(batches))), "starts")
+    parts = [_credits(starts.where(F.col("batch") == i).select("s"), steps) for i in range(batches)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.sum("credit").alias("credit"))
+    scored = sums.join(codes, F.col("v") == F.col("code")).select("path", (F.col("credit") * scale / ((n - 1) * (n - 2))).alias("betweenness"))
     return ids.join(scored, "path", "left").select("path", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
+def _credits(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(v, credit): what shortest paths from ``starts(s)`` add to the nodes between their ends; ``steps(_a, _b)`` go both ways."""
+    front = materialize(starts.select("s", F.col("s").alias("v"), F.lit(1.0).alias("ways")), "level")
+    levels = []
+    while front.take(1):
+        levels.append(front)
+        reached = front.join(steps, F.col("v") == F.col("_a")).select("s", F.col("_b").alias("v"), "ways", F.lit(False).alias("old"))
+        # the next nodes of a level's nodes lie at most one level back
+        for level in levels[-2:]:
+            reached = reached.unionByName(level.select("s", "v", F.lit(0.0).alias("ways"), F.lit(True).alias("old")))
+        front = materialize(reached.groupBy("s", "v").agg(F.sum("ways").alias("ways"), F.max("old").alias("old")).where("not old").drop("old"), "level")
+    total: list[DataFrame] = []
+    done = [front]
+    for level in reversed(levels[1:]):
+        rows = level.select("s", "v", "ways", F.lit(0.0).alias("flow"))
+        if total:
+            back = total[-1].join(steps, F.col("v") == F.col("_a")).select("s", F.col("_b").alias("v"), F.lit(None).cast("double").alias("ways"), ((1 + F.col("credit")) / F.col("ways")).alias("flow"))
+            rows = rows.unionByName(back).groupBy("s", "v").agg(F.max("ways").alias("ways"), F.sum("flow").alias("flow")).where("ways is not null")
+        total.append(materialize(rows.select("s", "v", "ways", (F.col("ways") * F.col("flow")).alias("credit")), "credit"))
+    done += levels + total
+    sums = [t.groupBy("v").agg(F.sum("credit").alias("credit")) for t in total] or [starts.select(F.col("s").alias("v"), F.lit(0.0).alias("credit"))]
+    found = materialize(reduce(DataFrame.unionByName, sums).groupBy("v").agg(F.sum("credit").alias("credit")), "credits")
+    for df in done:
+        discard(df)
+    return found
+
+
 def bridges(nodes: DataFrame, edges: DataFrame, top_n: int = 20, sources: int | None = None) -> DataFrame:
     """(path, title, betweenness) of the notes that most shortest paths pass, rounded to 6 digits."""
     scored = betweenness(nodes, edges, sources).select("path", F.round("betweenness", 6).alias("betweenness"))

@@ -88,6 +88,12 @@ def bridges_betweenness(spark, d):
     return centrality.bridges(nodes, edges, 20, sources=100)
 
 
+def bridges_betweenness_exact(spark, d):
+    """Betweenness of all notes, from every note."""
+    nodes, edges, _ = _graph(spark, d, written=True)
+    return centrality.bridges(nodes, edges, 20)
+
+
 def broken_links(spark, d):
     nodes, _, broken = _graph(spark, d)
     return insights.broken_links(nodes, broken)
@@ -335,7 +341,7 @@ def export_graphml(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    graph_stats, graph_stats_with_broken, edge_type_counts, hubs, orphans, bridges_betweenness, broken_links, query_node_edges, tag_search, list_stale, drift, blast_radius_d1, blast_radius_d2,
+    graph_stats, graph_stats_with_broken, edge_type_counts, hubs, orphans, bridges_betweenness, bridges_betweenness_exact, broken_links, query_node_edges, tag_search, list_stale, drift, blast_radius_d1, blast_radius_d2,
     blast_radius_out, blast_radius_in, traverse_out, traverse_structural, shortest_path_hops, edge_conflict, link_resolution, link_edges, graph_build, tag_overlap_edges, folder_edges, suggest_links,
     suggest_links_global, surprising_connections, context_pack, keyword_search, keyword_search_bodies, communities_louvain, community_profile, gaps_given_communities, content_hash, word_count,
     chunk_text, parse_wikilinks, parse_links_filtered, parse_embeds, parse_tags, parse_headings, parse_whole_notes, embed_status, note_vectors, semantic_search, semantic_edges, embed_notes,

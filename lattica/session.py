@@ -33,6 +33,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that :func:`materialize` wrote for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     """Keys that hold more than ``hot_rows`` rows, with the number of salts each is split into.
 

@@ -125,6 +125,21 @@ def test_betweenness_matches_brute_force(spark):
     assert centrality.betweenness(nodes.limit(2), edges).count() == 0
 
 
+def test_betweenness_refuses_no_size_and_collects_no_link(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    _, _, nodes, edges = _random_graph(spark, random.Random(5), 12, 24)
+    whole = {x["path"]: x["betweenness"] for x in centrality.betweenness(nodes, edges).collect()}
+
+    def refuse(*_, **__):
+        raise AssertionError("links at the driver")
+
+    monkeypatch.setattr(type(edges), "toLocalIterator", refuse)
+    parts = centrality.betweenness(nodes, edges, batch_rows=30)  # in several batches
+    assert {x["path"]: round(x["betweenness"], 9) for x in parts.collect()} == {p: round(v, 9) for p, v in whole.items()}
+    assert "bridges_betweenness_exact" in entry.queries()
+
+
 def test_louvain_finds_cliques_and_is_stable(spark):
     rows = [(f"{c}{i}", f"{c}{j}", "wikilink", 1.0) for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", "wikilink", 1.0)]
     edges = spark.createDataFrame(rows, "src string, dst string, type string, weight double")
