@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import struct
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,6 +56,10 @@ _PATTERNS = [re.compile(rf"{d}(?:(?:\s*[Tt]|\s*,)?\s*(?<![0-9]){_TIME}{_ZONE})?"
 _COMPACT = re.compile(r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})(?:[T ]?(?P<h>\d{2})(?P<mi>\d{2})(?P<s>\d{2})?(?:[.,](?P<f>\d{1,9}))?(?P<off>Z|[+-]\d{2}:?\d{2})?)?")
 _EPOCH = {10: 1_000_000, 13: 1_000, 16: 1}
 _ZERO = dt.datetime(1970, 1, 1)
+#: Years that the interval tables cover. No zone changes before the first, and after ``LAST_YEAR - 28`` each follows a yearly rule.
+FIRST_YEAR, LAST_YEAR = 1800, 2131
+#: By (leap year, weekday of its first day): a year of the last 28 with the same calendar, hence the same clock changes.
+_LIKE = {((dt.date(y, 12, 31) - dt.date(y, 1, 1)).days == 365, dt.date(y, 1, 1).weekday()): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
 _QUOTES = " \t\r\n\f\v \"'`“”‘’«»"
 
 PARSED = T.StructType([
@@ -61,6 +67,7 @@ PARSED = T.StructType([
     T.StructField("offset_s", T.IntegerType()),
     T.StructField("zone", T.StringType()),
     T.StructField("abbr", T.StringType()),
+    T.StructField("at_us", T.LongType()),
 ])
 
 
@@ -136,13 +143,28 @@ def parse_moment(text: str | None, order: str | None) -> tuple | None:
     return local, None, None, name.upper()
 
 
+_FIRST_US, _END_US = _us(dt.datetime(FIRST_YEAR, 1, 1)), _us(dt.datetime(LAST_YEAR + 1, 1, 1))
+
+
+def _covered(local: int) -> int:
+    """A local time within the years of the interval tables that has the same offsets as ``local`` in every zone."""
+    if _FIRST_US <= local < _END_US:
+        return local
+    if local < _FIRST_US:
+        return _FIRST_US
+    begin = dt.date((_ZERO + dt.timedelta(microseconds=local)).year, 1, 1)
+    like = dt.date(_LIKE[begin.replace(month=12, day=31).timetuple().tm_yday == 366, begin.weekday()], 1, 1)
+    return local - (begin - like).days * 86_400_000_000
+
+
 @F.pandas_udf(PARSED)
 def _parse(text: pd.Series, order: pd.Series) -> pd.DataFrame:
-    rows = [parse_moment(t, o) or (None, None, None, None) for t, o in zip(text, order)]
-    return pd.DataFrame(rows, columns=PARSED.names).astype({"local_us": "Int64", "offset_s": "Int32"})
+    found = (parse_moment(t, o) for t, o in zip(text, order))
+    rows = [(*p, _covered(p[0])) if p else (None,) * 5 for p in found]
+    return pd.DataFrame(rows, columns=PARSED.names).astype({"local_us": "Int64", "offset_s": "Int32", "at_us": "Int64"})
 
 
-def zone_intervals(zones: DataFrame, first_year: int = 1900, last_year: int = 2100) -> DataFrame:
+def zone_intervals(zones: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     """``zones(zone)`` to rows (zone, year, lo, hi, matches, before_s) over local microseconds lo <= t < hi.
 
     A zone's intervals of constant offset are cut where they overlap or leave a gap in local time, so each
@@ -183,19 +205,45 @@ def _segments(name: str, spans: list[tuple[int, int, int, str]]) -> list[tuple]:
     return out
 
 
+def _transitions(name: str | None) -> list[int]:
+    """UTC seconds of the changes that the tz database lists for a zone, from its file (RFC 8536)."""
+    import zoneinfo
+    from importlib import resources
+
+    if not name:
+        return []
+    found = next((f for f in (Path(p, name) for p in zoneinfo.TZPATH) if f.is_file()), None)
+    data = (found or resources.files("tzdata").joinpath("zoneinfo", *name.split("/"))).read_bytes()
+    counts = lambda at: struct.unpack_from(">6l", data, at + 20)
+    at, code = 0, "l"
+    if data[4:5] >= b"2":  # the second block has the times in 64 bits
+        utc, std, leap, times, kinds, chars = counts(0)
+        at, code = 44 + times * 5 + kinds * 6 + chars + leap * 8 + std + utc, "q"
+    times = counts(at)[3]
+    return list(struct.unpack_from(f">{times}{code}", data, at + 44))
+
+
 def _intervals(zone: dt.tzinfo, first_year: int, last_year: int) -> list[tuple[int, int, int, str]]:
-    """Spans of constant offset and abbreviation, found by weekly probes and bisection."""
+    """Spans of constant offset and abbreviation over whole local years, cut at the zone's listed changes.
+
+    Beyond the last of these only a yearly rule may hold, whose changes are found by daily probes and bisection.
+    """
     utc = dt.timezone.utc
 
     def at(ts: int) -> tuple[int, str]:
         moment = dt.datetime.fromtimestamp(ts, utc).astimezone(zone)
         return int(moment.utcoffset().total_seconds()), moment.tzname()
 
-    begin = int(dt.datetime(first_year, 1, 2, tzinfo=utc).timestamp())
-    end = int(dt.datetime(last_year, 12, 30, tzinfo=utc).timestamp())
-    cuts, t, now, step = [(begin, *at(begin))], begin, at(begin), 7 * 86400
+    begin = int(dt.datetime(first_year - 1, 12, 30, tzinfo=utc).timestamp())
+    end = int(dt.datetime(last_year + 1, 1, 3, tzinfo=utc).timestamp())
+    listed = _transitions(getattr(zone, "key", None))
+    cuts, t, now = [(begin, *at(begin))], begin, at(begin)
+    for t in [x for x in listed if begin < x < end]:
+        if (new := at(t)) != now:
+            now = new
+            cuts.append((t, *now))
     while t < end:
-        nxt = min(t + step, end)
+        nxt = min(t + 86400, end)
         if (new := at(nxt)) != now:
             lo, hi = t, nxt
             while hi - lo > 1:
@@ -216,7 +264,7 @@ def normalize_times(rows: DataFrame, text: str, vaults: DataFrame, path: str = "
     ``vaults(vault, time_zone, date_order)`` is matched by the first segment of ``path``; a vault that is not
     listed, or a zone name that is unknown, counts as UTC. status: ``offset`` (stated or epoch), ``direct``,
     ``ambiguous`` (the first instant is taken), ``nonexistent`` (moved forward by the skipped span).
-    Years outside 1900-2100 take UTC offset 0. Nulls and empty strings give no row; repeated rows stay repeated.
+    Years outside the interval tables are looked up in a year with the same clock changes. Nulls and empty strings give no row; repeated rows stay repeated.
     Other columns of ``rows`` pass through, except ones named like the added columns, which are replaced.
     """
     keep = [c for c in rows.columns if c not in ("utc_us", "status")]
@@ -224,7 +272,7 @@ def normalize_times(rows: DataFrame, text: str, vaults: DataFrame, path: str = "
     packed = rows.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.col(text).alias("_text"), F.split_part(F.col(path), F.lit("/"), F.lit(1)).alias("_seg"))
     placed = packed.join(F.broadcast(own), F.col("_seg") == F.col("_vault"), "left")
     parsed = placed.withColumn("_p", _parse(F.col("_text"), F.col("_order"))).where("_p.local_us is not null")
-    local = parsed.select("_keep", F.col("_p.local_us").alias("_local"), F.col("_p.offset_s").alias("_off"), F.col("_p.abbr").alias("_abbr"), F.coalesce("_p.zone", "_tz", F.lit("UTC")).alias("_zone"))
+    local = parsed.select("_keep", F.col("_p.local_us").alias("_local"), F.col("_p.at_us").alias("_at"), F.col("_p.offset_s").alias("_off"), F.col("_p.abbr").alias("_abbr"), F.coalesce("_p.zone", "_tz", F.lit("UTC")).alias("_zone"))
     fixed = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v * 60))])
     # only rows that name a zone are parsed for this second branch
     bracket = F.col("_text").rlike(r"[A-Za-z]/[A-Za-z]")
@@ -233,7 +281,7 @@ def normalize_times(rows: DataFrame, text: str, vaults: DataFrame, path: str = "
     spans = zone_intervals(named.union(vaults.select("time_zone")).distinct())
     usual = spans.select("zone", "lo", F.explode("matches").alias("m")).groupBy(F.col("zone").alias("_uz"), F.col("m.abbr").alias("_ua")).agg(F.max_by("m.offset_s", "lo").alias("_uo"))
     spans = spans.select(F.col("zone").alias("_z"), F.col("year").alias("_y"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("matches").alias("_m"), F.col("before_s").alias("_before"))
-    holds = (F.col("_zone") == F.col("_z")) & (F.year(F.timestamp_micros(F.col("_local"))) == F.col("_y")) & (F.col("_local") >= F.col("_lo")) & (F.col("_local") < F.col("_hi"))
+    holds = (F.col("_zone") == F.col("_z")) & (F.year(F.timestamp_micros(F.col("_at"))) == F.col("_y")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
     placed_in = local.join(F.broadcast(spans), holds, "left").join(F.broadcast(usual), (F.col("_zone") == F.col("_uz")) & (F.col("_abbr") == F.col("_ua")), "left")
     same = F.filter("_m", lambda m: m["abbr"] == F.col("_abbr"))
     by_abbr = F.when(F.col("_abbr").isNotNull() & (F.size(same) > 0), F.get(same, F.lit(0))["offset_s"])

@@ -67,6 +67,32 @@ def test_segments_agree_with_zoneinfo(name):
             assert (offsets == both and max(both) == first) if row[3] else row[4] == first
 
 
+def test_far_years_and_short_spans(spark):
+    names = [*VAULTS, ("tok", "Asia/Tokyo", "dmy"), ("rec", "America/Recife", "dmy")]
+    zone = {v: ZoneInfo(z) for v, z, _ in names if v != "odd"}
+    texts = ["2101-05-01", "9999-12-31", "1899-12-31", "1900-01-01", "1850-06-01", "0001-01-02", "2100-12-31", "2400-07-01 12:00", "2131-12-31 23:30", "2132-01-01", "7777-11-30 10:00", "2000-10-10 12:00", "2000-10-15 12:00"]
+    texts += [f"{y}-{d}" for y in range(2126, 2530, 7) for d in ("03-28 12:00", "04-01 12:00", "10-28 12:00", "11-04 12:00")]
+    cases = [(v, t) for v in zone for t in texts]
+    df = spark.createDataFrame([(f"{v}/a", t) for v, t in cases], "path string, text string")
+    got = {(r["path"][:3], r["text"]): r["utc_us"] for r in M.normalize_times(df, "text", spark.createDataFrame(names, "vault string, time_zone string, date_order string")).collect()}
+    for v, t in cases:
+        local = datetime.fromisoformat(t)
+        offset = local.replace(tzinfo=zone[v]).utcoffset()
+        assert got[v, t] == M._us(local) - offset // timedelta(microseconds=1), (v, t)
+
+
+def test_tables_hold_every_listed_change():
+    import zoneinfo
+
+    first = M._us(datetime(M.FIRST_YEAR, 1, 3)) // 1_000_000
+    last = M._us(datetime(M.LAST_YEAR - 28, 1, 1)) // 1_000_000
+    for name in sorted(zoneinfo.available_timezones()):
+        zone = ZoneInfo(name)
+        for t in M._transitions(name):
+            before, after = (datetime.fromtimestamp(max(t + s, -62_000_000_000), timezone.utc).astimezone(zone) for s in (-1, 0))
+            assert first < t < last or before.utcoffset() == after.utcoffset(), (name, t)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40) | st.from_regex(r"[0-9]{1,4}[-/.][0-9]{1,4}[-/.][0-9]{1,4}( [0-9:]{1,8})?", fullmatch=True))
 def test_any_text_parses_or_not(text):
