@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -318,9 +319,10 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
     for i in open_:
         if i >= 0 and nodes[i].ce < 0:
             nodes[i].ce = stop
-    for node in nodes:
-        if node.ce < 0:
-            node.ce = node.end
+    if not lines_only:  # else entries around the code are still open
+        for node in nodes:
+            if node.ce < 0:
+                node.ce = node.end
 
 
 # ---------------------------------------------------------------- features
@@ -477,7 +479,11 @@ def inline_text(s: str, tex: bool = False) -> str:
 
 def content(text: str, node: Node, label: int) -> str:
     """What an element holds, by its form."""
-    s, form = text[node.cs : node.ce], FORMS[node.form]
+    return _shown(text[node.cs : node.ce], node, label)
+
+
+def _shown(s: str, node: Node, label: int) -> str:
+    form = FORMS[node.form]
     if label == 1:
         if form == "hash":
             s = re.sub(r"\s+#+\s*$", "", s)
@@ -526,43 +532,82 @@ def label_notes(texts: list[str], trees: BoostedTrees) -> list[list[tuple[Node,
 
 def elements(texts: list[str], trees: BoostedTrees) -> list[list[tuple[str, str]]]:
     """Distinct (kind, content) of each text's structural elements; elements without content are none."""
-    out = []
-    for text, labelled in zip(texts, label_notes(texts, trees)):
-        found = {(LABELS[k], content(text, x, k)) for x, k in labelled if k}
-        out.append(sorted(f for f in found if f[1]))
-    return out
+    return [_elements(text, labelled) for text, labelled in zip(texts, label_notes(texts, trees))]
+
+
+def _elements(text: str, labelled: list[tuple[Node, int]]) -> list[tuple[str, str]]:
+    found = {(LABELS[k], content(text, x, k)) for x, k in labelled if k}
+    return sorted(f for f in found if f[1])
 
 
 _HEADER = re.compile(r"\\documentclass[^\n]*\n|\\usepackage[^\n]*\n|\\(?:begin|end)\{[A-Za-z]+\*?\}[ \t]*\n?|\{\|.*?\n\|\}|^[|!][-+].*$|</?(?:ul|ol|p|div|table|tr|td|th|section|article)\b[^<>]*>|^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", re.M | re.S | re.I)
 
 
 def clean_text(text: str, labelled: list[tuple[Node, int]]) -> str:
-    """The text without markup: headings as '#' lines, entries as '-' lines, code in fences, formulas between '$'."""
+    """The text without markup: headings as '#' lines, entries as '-' lines, code in fences, formulas between '$'.
+
+    Formulas inside an entry or heading stay in its line; code and other elements there follow as blocks of their own, and
+    what comes after them as a new line.
+    """
     out, pos = [], 0
+    stop = lambda x, k: x.ce if k == 2 else x.end
+    marked = sorted(((x, k) for x, k in labelled if k), key=lambda p: (p[0].start, -stop(*p)))
+    # stands for an element while its surroundings are read as text
+    sign = next(c for c in map(chr, itertools.chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE))) if c not in text) if marked else ""
 
     def prose(a: int, b: int) -> None:
         for part in _BLANK.split(_HEADER.sub("\n\n", text[a:b])):
             if line := inline_text(part):
                 out.append(line + "\n")
 
-    stack_end = 0
-    for x, k in labelled:
-        if not k or x.start < stack_end and k != 2:
-            continue
-        if x.start > pos:
-            prose(pos, x.start)
-        c = content(text, x, k)
-        if k == 1:
-            level = x.level if FORMS[x.form] in ("hash", "equals", "htag", "setext") else max(1, x.level)
-            out.append(f"{'#' * max(1, min(6, level))} {c}\n")
-        elif k == 2:
-            out.append(f"- {c}\n")
-        elif k == 3:
-            out.append(f"```\n{text[x.cs : x.ce].strip(chr(10)) if FORMS[x.form] != 'pre' else html.unescape(re.sub(r'</?code[^<>]*>', '', text[x.cs : x.ce], flags=re.I)).strip(chr(10))}\n```\n")
-        else:
-            out.append(f"${c}$\n")
-        pos = max(pos, x.ce if k == 2 else x.end)
-        stack_end = max(stack_end, pos)
+    def emit(i: int, into: list[str]) -> int:
+        """Shows element ``i`` and those inside; the index after them."""
+        nonlocal pos
+        x, k = marked[i]
+        end, i = stop(x, k), i + 1
+        pos = max(pos, end)
+        if k > 2:
+            if k == 3:
+                s = text[x.cs : x.ce]
+                into.append(f"```\n{(html.unescape(re.sub(r'</?code[^<>]*>', '', s, flags=re.I)) if FORMS[x.form] == 'pre' else s).strip(chr(10))}\n```\n")
+            else:
+                into.append(f"${content(text, x, k)}$\n")
+            while i < len(marked) and marked[i][0].start < end:
+                i += 1
+            return i
+        parts, inner, at = [], [], x.cs
+        while i < len(marked) and marked[i][0].start < end:
+            y, label = marked[i]
+            shown: list[str] = []
+            i = emit(i, shown)
+            parts += [text[at : min(y.start, x.ce)], f"{sign}{len(inner)}{sign}"]
+            inner.append((label, shown))
+            at = max(at, stop(y, label))
+        pieces = re.split(f"{sign}(\\d+){sign}", _shown("".join(parts) + text[at : x.ce], x, k))
+        for j in sorted({*range(len(inner))} - {*map(int, pieces[1::2])}):  # inside a note or link that is left out
+            pieces += [str(j), ""]
+        level = x.level if FORMS[x.form] in ("hash", "equals", "htag", "setext") else max(1, x.level)
+        prefix, line = "- " if k == 2 else f"{'#' * max(1, min(6, level))} ", pieces[0]
+        for j, after in zip(map(int, pieces[1::2]), pieces[2::2]):
+            label, shown = inner[j]
+            if label == 4:
+                line += shown[0].rstrip("\n") + after
+                continue
+            if prefix or line.strip():
+                into.append(f"{prefix}{line.strip()}".rstrip() + "\n")
+            into += shown
+            prefix, line = "", after
+        if prefix:
+            into.append(f"{prefix}{line}\n")
+        elif line.strip():
+            into.append(line.strip() + "\n")
+        return i
+
+    i = 0
+    while i < len(marked):
+        if marked[i][0].start > pos:
+            prose(pos, marked[i][0].start)
+        i = emit(i, out)
     prose(pos, len(text))
     return "\n".join(out)
 
@@ -582,9 +627,10 @@ def structure(rows: DataFrame, key: str, text: str, notes: int = 400, with_text:
             for at in range(0, len(b), 500):
                 part = b.iloc[at : at + 500]
                 texts = part[text].tolist()
-                out = pd.DataFrame({key: part[key].to_numpy(), "elements": [[{"kind": k, "content": c} for k, c in e] for e in elements(texts, trees)]})
+                labelled = label_notes(texts, trees)
+                out = pd.DataFrame({key: part[key].to_numpy(), "elements": [[{"kind": k, "content": c} for k, c in _elements(t, ns)] for t, ns in zip(texts, labelled)]})
                 if with_text:
-                    out["clean"] = [clean_text(t, ns) for t, ns in zip(texts, label_notes(texts, trees))]
+                    out["clean"] = [clean_text(t, ns) for t, ns in zip(texts, labelled)]
                 yield out
 
     return rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)

@@ -43,6 +43,25 @@ def test_clean_text_keeps_structure():
     assert [p for p in out.split("\n") if p] == ["# Head", "Some bold shown text.", "- one", "- two", "```", "x = 1", "  y", "```", "With", "$z$", "."]
 
 
+def test_clean_text_keeps_nested_elements():
+    def clean(text, *labels):
+        """With the labels given by form, so that the rendering alone is tested."""
+        return [p for p in M.clean_text(text, [(x, dict(labels).get(M.FORMS[x.form], 0)) for x in M.parse(text)]).split("\n") if p]
+
+    li, pre, item, bracket, dollar = ("li", 2), ("pre", 3), ("item", 2), ("bracket", 4), ("dollar", 4)
+    assert clean("<ul><li>run <pre>a\n b</pre></li></ul>", li, pre) == ["- run", "```", "a", " b", "```"]
+    assert clean("<ul><li>run <pre>a</pre> or <b>so</b> <pre>b</pre> end</li><li>two</li></ul>", li, pre) == ["- run", "```", "a", "```", "or so", "```", "b", "```", "end", "- two"]
+    assert clean("<ul><li><pre>a</pre></li></ul>", li, pre) == ["-", "```", "a", "```"]
+    assert clean("\\begin{itemize}\n\\item so \\[ x^2 \\]\n\\end{itemize}", item, bracket) == ["- so $x^2$"]
+    assert clean("- so **big $\\text{a}_1 * b$ and** c\n- d", ("bullet", 2), dollar) == ["- so big $\\text{a}_1 * b$ and c", "- d"]
+    assert clean("# On $a_1$ ##\n\ntext", ("hash", 1), dollar) == ["# On $a_1$", "text"]
+    assert clean("On $a$\n-----\n\ntext", ("setext", 1), dollar) == ["## On $a$", "text"]
+    assert clean("- see <ref>of $x$</ref>", ("bullet", 2), dollar) == ["- see$x$"]
+    text = "<ul>\n<li>run <pre>a\n b</pre></li>\n</ul>\n\n\\begin{itemize}\n\\item so \\[ x^2 \\]\n\\end{itemize}"
+    out = M.clean_text(text, M.label_notes([text], M.model())[0])
+    assert [p for p in out.split("\n") if p] == ["- run", "```", "a", " b", "```", "- so $x^2$"]
+
+
 def test_decoder_forbids_contradictions():
     p = np.log(np.array([[0.05, 0.05, 0.05, 0.8, 0.05], [0.2, 0.1, 0.6, 0.05, 0.05], [0.2, 0.1, 0.6, 0.05, 0.05]]))
     assert M.decode([-1, 0, 0], p) == [3, 0, 0]  # the code block wins over its two lines
