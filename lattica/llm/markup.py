@@ -7,6 +7,7 @@ the whole tree that don't contradict each other, such as a list item inside a co
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import itertools
@@ -53,8 +54,6 @@ _INLINE = re.compile(
     r"|(?P<dollars>\$\$?)|(?P<tick>`+)|(?P<brace>\{\{|\{\|)", re.I | re.S)
 _SPECIAL = re.compile(r"[<$\\`{]")
 _BLANK = re.compile(r"\n[ \t]*\n")
-#: An inline mark or title without its closing partner within this many characters is none; this keeps long texts linear.
-SPAN = 4000
 
 
 class Node:
@@ -68,20 +67,19 @@ class Node:
 _BRACES = re.compile(r"\\.|[{}]|\n[ \t]*\n", re.S)
 
 
-def _brace_end(text: str, pos: int) -> int:
-    """Position of the brace that closes the one before ``pos``, or -1 if there is none in the paragraph, within ``SPAN``."""
-    depth = 1
-    for m in _BRACES.finditer(text, pos, pos + SPAN):
+def _brace_ends(text: str) -> dict[int, int]:
+    """For the position after each opening brace, that of the brace that closes it in the same paragraph."""
+    ends, opened = {}, []
+    for m in _BRACES.finditer(text):
         g = m.group()
         if g == "{":
-            depth += 1
+            opened.append(m.end())
         elif g == "}":
-            depth -= 1
-            if not depth:
-                return m.start()
+            if opened:
+                ends[opened.pop()] = m.start()
         elif g[0] == "\n":
-            return -1
-    return -1
+            opened = []
+    return ends
 
 
 @functools.cache
@@ -118,6 +116,7 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
     items: list[int] = []  # Markdown and wiki items that the next item may belong to
     para = -1  # start of the current paragraph
     plain = 0  # lines it has
+    braces: dict[int, int] | None = None  # found when first needed
     if pos == 0 and text.startswith("---\n"):
         end = re.compile(r"^---[ \t]*$", re.M).search(text, 4)
         blank = _BLANK.search(text, 3)
@@ -279,7 +278,8 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
                         nodes[open_.pop()].end = s
                     open_.append(add("item", s, stop, e, -1))
                 elif m.group("sec"):
-                    x = _brace_end(text, e)
+                    braces = _brace_ends(text) if braces is None else braces
+                    x = braces.get(e, -1)
                     if x >= 0:
                         add("section", s, x + 1, e, x, level=g.count("sub") + 1)
                         e = x + 1
@@ -424,26 +424,98 @@ def decode(parents: list[int], log_p: np.ndarray) -> list[int]:
 # ---------------------------------------------------------------- content
 
 _MARKED = re.compile(r"[*_~=`'\[\]<>&\\{}!|]")
-_DROP = re.compile(rf"<!--.{{0,{SPAN}}}?-->|<ref\b[^<>]*/>|<ref\b[^<>]*>.{{0,{SPAN}}}?</ref>" r"|\{\{[^{}]*\}\}|\\(?:cite[a-z]*|label|ref|footnote)\s*(?:\[[^\]]*\])?\{[^{}]*\}|\[\^[^\]\s]+\]", re.S | re.I)
+_DROP = re.compile(r"(?P<note><!--)|<ref\b[^<>]*/>|(?P<ref><ref\b[^<>]*>)|\{\{[^{}]*\}\}|\\(?:cite[a-z]*|label|ref|footnote)\s*(?:\[[^\]]*\])?\{[^{}]*\}|\[\^[^\]\s]+\]", re.S | re.I)
 _LINKS = re.compile(r"!?\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]|!?\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)|\[(?:https?|mailto|ftp):\S*\s+([^\[\]]*)\]")
 _COMMAND = re.compile(r"\\(?:textbf|textit|texttt|emph|underline|textsc|textsf|textrm|text|mbox|url|uline)\s*\{([^{}]*)\}|\\href\s*\{[^{}]*\}\{([^{}]*)\}")
 _QUOTES = re.compile(r"'{2,5}")
-_EMPHASIS = re.compile(rf"(?<![\w*])(\*{{1,3}})(?=\S)(.{{1,{SPAN}}}?)(?<=\S)\1(?!\*)|(\*\*)(?=\S)(.{{1,{SPAN}}}?)(?<=\S)\3|(?<!\w)(_{{1,3}})(?=\S)(.{{1,{SPAN}}}?)(?<=\S)\5(?!\w)|(~~|==)(?=\S)(.{{1,{SPAN}}}?)(?<=\S)\7", re.S)
+_REF_END = re.compile(r"</ref>", re.I)
+_MARK = re.compile(r"[*_]|~~|==")
+# where a mark may close, by the mark; "**" has a second, looser form
+_ENDS = {m: re.compile(rf"(?<=\S)(?={re.escape(m)}{after})") for marks, after in ((("***", "**", "*"), r"(?!\*)"), (("___", "__", "_"), r"(?!\w)"), (("~~", "=="), "")) for m in marks} | {"loose": re.compile(r"(?<=\S)(?=\*\*)")}
 _BREAK = re.compile(r"<br\s*/?>|\\\\(?:\[[^\]]*\])?|\\newline\b", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_TICKS = re.compile(rf"(`+)(.{{1,{SPAN}}}?)(?<!`)\1(?!`)", re.S)
+_TICKS = re.compile(r"`+")
 _BOX = re.compile(r"^\[[ xX]\]\s+")
 _ESCAPE = re.compile(r"\\([%&$#_{}!\"'()*+,\-./:;<=>?@\[\]^`|~])")
 
 
-def _emphasis(m: re.Match) -> str:
-    return m.group(2) or m.group(4) or m.group(6) or m.group(8) or ""
+def _drop(s: str) -> str:
+    """``s`` without comments, references and templates. A kind of end that is missing once is not searched for again."""
+    parts, last, pos, missing = [], 0, 0, set()
+    while m := _DROP.search(s, pos):
+        end, kind = m.end(), m.lastgroup
+        if kind:
+            end = -1
+            if kind not in missing:
+                if kind == "note":
+                    x = s.find("-->", m.end())
+                    end = x + 3 if x >= 0 else -1
+                else:
+                    end = x.end() if (x := _REF_END.search(s, m.end())) else -1
+            if end < 0:
+                missing.add(kind)
+                pos = m.start() + 1
+                continue
+        parts.append(s[last : m.start()])
+        last = pos = end
+    return "".join(parts) + s[last:]
+
+
+def _emphasis(s: str) -> str:
+    """``s`` without one level of emphasis. Ends of each mark are found once, then bisected."""
+    ends: dict[str, list[int]] = {}
+
+    def close(kind: str, at: int) -> int:
+        if kind not in ends:
+            ends[kind] = [m.start() for m in _ENDS[kind].finditer(s)]
+        i = bisect.bisect_left(ends[kind], at)
+        return ends[kind][i] if i < len(ends[kind]) else -1
+
+    parts, last, pos = [], 0, 0
+    while m := _MARK.search(s, pos):
+        p, c = m.start(), m.group()
+        before = s[p - 1] if p else " "
+        word = before.isalnum() or before == "_"
+        if len(c) == 2:
+            kinds = [(c, 2)]
+        elif word or c == before == "*":
+            kinds = []
+        else:
+            kinds = [(c * n, n) for n in (3, 2, 1) if s.startswith(c * n, p)]
+        if c == "*" and s.startswith("**", p):
+            kinds.append(("loose", 2))
+        pos = p + 1
+        for kind, n in kinds:
+            if p + n < len(s) and not s[p + n].isspace() and (q := close(kind, p + n + 1)) >= 0:
+                parts += [s[last:p], s[p + n : q]]
+                last = pos = q + n
+                break
+    return "".join(parts) + s[last:]
+
+
+def _code_spans(s: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, content start, content end) of code spans: a run of backticks up to the next run of as many, else of fewer."""
+    runs = [m.span() for m in _TICKS.finditer(s)]
+    starts: dict[int, list[int]] = {}
+    for a, b in runs:
+        starts.setdefault(b - a, []).append(a)
+    spans, last = [], 0
+    for a, b in runs:
+        if a < last:
+            continue
+        for n in range(b - a, 0, -1):
+            ends = starts.get(n, [])
+            if (i := bisect.bisect_left(ends, b)) < len(ends):
+                last = ends[i] + n
+                spans.append((a, last, a + n, ends[i]))
+                break
+    return spans
 
 
 def _plain(s: str, tex: bool) -> str:
     s = _BREAK.sub(" ", s)
     if "{" in s or "[" in s or "<" in s:
-        s = _DROP.sub("", s)
+        s = _drop(s)
         s = _LINKS.sub(lambda m: next((x for x in (m.group(2), m.group(3), m.group(4), m.group(1)) if x), ""), s)
     if "\\" in s:
         while (t := _COMMAND.sub(lambda m: m.group(1) or m.group(2) or "", s)) != s:
@@ -453,7 +525,7 @@ def _plain(s: str, tex: bool) -> str:
     if tex:
         s = s.replace("~", " ")
     for _ in range(3):
-        t = _EMPHASIS.sub(_emphasis, s)
+        t = _emphasis(s)
         if t == s:
             break
         s = t
@@ -466,9 +538,9 @@ def inline_text(s: str, tex: bool = False) -> str:
     if _MARKED.search(s) or (tex and "~" in s):
         if "`" in s:
             parts, last = [], 0
-            for m in _TICKS.finditer(s):
-                parts += [_plain(s[last : m.start()], tex), m.group(2)]
-                last = m.end()
+            for start, end, a, b in _code_spans(s):
+                parts += [_plain(s[last:start], tex), s[a:b]]
+                last = end
             s = "".join(parts) + _plain(s[last:], tex)
         else:
             s = _plain(s, tex)

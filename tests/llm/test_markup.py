@@ -62,6 +62,33 @@ def test_clean_text_keeps_nested_elements():
     assert [p for p in out.split("\n") if p] == ["- run", "```", "a", " b", "```", "- so $x^2$"]
 
 
+def test_marks_close_at_any_distance():
+    far = "word " * 2_000 + "end"
+    for text in (f"a <!-- {far} --> b", f"a <ref>{far}</ref> b"):
+        assert M.inline_text(text) == "a b"
+    for text in (f"**{far}**", f"*{far}*", f"_{far}_", f"~~{far}~~", f"`{far}`"):
+        assert M.inline_text(text) == far
+    title = "\\section{" + far + "}"
+    assert [(x.cs, x.ce) for x in M.parse(title)] == [(9, len(title) - 1)]
+
+
+def test_marks_match_unbounded_patterns():
+    import random
+    import re
+
+    drop = re.compile(r"<!--.*?-->|<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|\{\{[^{}]*\}\}|\\(?:cite[a-z]*|label|ref|footnote)\s*(?:\[[^\]]*\])?\{[^{}]*\}|\[\^[^\]\s]+\]", re.S | re.I)
+    emphasis = re.compile(r"(?<![\w*])(\*{1,3})(?=\S)(.+?)(?<=\S)\1(?!\*)|(\*\*)(?=\S)(.+?)(?<=\S)\3|(?<!\w)(_{1,3})(?=\S)(.+?)(?<=\S)\5(?!\w)|(~~|==)(?=\S)(.+?)(?<=\S)\7", re.S)
+    ticks = re.compile(r"(`+)(.+?)(?<!`)\1(?!`)", re.S)
+    r = random.Random(3)
+    for _ in range(5_000):
+        s = "".join(r.choice(["*", "**", "***", "_", "__", "~~", "==", "=", "a", " ", "é", "\n", "-"]) for _ in range(r.randint(1, 16)))
+        assert M._emphasis(s) == emphasis.sub(lambda m: m.group(2) or m.group(4) or m.group(6) or m.group(8), s), s
+        s = "".join(r.choice(["`", "``", "```", "a", " "]) for _ in range(r.randint(1, 12)))
+        assert M._code_spans(s) == [(*m.span(), *m.span(2)) for m in ticks.finditer(s)], s
+        s = "".join(r.choice(["<!--", "-->", "<ref>", "<REF a>", "</ref>", "<ref a/>", "{{", "}}", "[^a]", "\\ref{a}", "x", "<"]) for _ in range(r.randint(1, 12)))
+        assert M._drop(s) == drop.sub("", s), s
+
+
 def test_decoder_forbids_contradictions():
     p = np.log(np.array([[0.05, 0.05, 0.05, 0.8, 0.05], [0.2, 0.1, 0.6, 0.05, 0.05], [0.2, 0.1, 0.6, 0.05, 0.05]]))
     assert M.decode([-1, 0, 0], p) == [3, 0, 0]  # the code block wins over its two lines
