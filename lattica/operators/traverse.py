@@ -75,46 +75,49 @@ def structural_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return steps.join(kept.withColumnRenamed("path", "a"), "a", "left_semi").join(kept.withColumnRenamed("path", "b"), "b", "left_semi")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, source: DataFrame, target: DataFrame, longest: int = 50) -> DataFrame:
+def shortest_path(nodes: DataFrame, edges: DataFrame, source: DataFrame, target: DataFrame, longest: int | None = None) -> DataFrame:
     """(hops, path_nodes) of the shortest undirected structural path; of several the first in the order of their nodes.
 
-    No row if there is none within ``longest`` hops. Each round extends the best path per newly reached node.
+    No row if there is none, or none within ``longest`` hops where that is given. Each round extends the best path per newly
+    reached node; steps go both ways, so a node reached before lies at most one round back.
     """
     steps = materialize(structural_view(nodes, edges), "steps")
     start = source.select(F.col("path").alias("n")).join(nodes.select(F.col("path").alias("n"), "title").where(~F.coalesce(F.col("title").isin(*GENERIC_TITLES), F.lit(False))), "n", "left_semi")
-    seen = start.select("n", F.array("n").alias("p"))
-    front, goal = seen, target.select(F.col("path").alias("n"))
-    empty = edges.sparkSession.createDataFrame([], "hops int, path_nodes array<string>")
-    for d in range(longest + 1):
-        hit = front.join(goal, "n", "left_semi")
-        rows = hit.select(F.lit(d).alias("hops"), F.col("p").alias("path_nodes"))
+    front = materialize(start.select("n", F.array("n").alias("p")), "front")
+    last, goal = front.limit(0), materialize(target.select(F.col("path").alias("n")), "goal")
+    d = 0
+    while front.take(1) and (longest is None or d <= longest):
+        rows = front.join(goal, "n", "left_semi").select(F.lit(d).alias("hops"), F.col("p").alias("path_nodes"))
         if rows.take(1):
             return rows
         walked = front.join(steps, F.col("n") == F.col("a")).select(F.col("b").alias("n"), F.concat("p", F.array("b")).alias("p"))
-        front = materialize(walked.join(seen.select("n"), "n", "left_anti").groupBy("n").agg(F.min("p").alias("p")), "front")
-        if not front.take(1):
-            return empty
-        seen = seen.select("n", "p").unionByName(front)
-    return empty
+        near = last.select("n").unionByName(front.select("n"))
+        last, front = front, materialize(walked.join(near, "n", "left_anti").groupBy("n").agg(F.min("p").alias("p")), "front")
+        d += 1
+    return edges.sparkSession.createDataFrame([], "hops int, path_nodes array<string>")
 
 
-def distances(steps: DataFrame, pairs: DataFrame, longest: int = 98) -> DataFrame:
+def distances(steps: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
     """Adds ``distance`` to ``pairs(a, b, ...)``: hops over ``steps(a, b)``, 99 where there is no way.
 
-    All pairs' frontiers advance together, one join a round; each keeps its own set of reached nodes.
+    All pairs' frontiers advance together, one join a round; each keeps its own set of reached nodes. Ways of any length
+    are followed, unless ``longest`` is given.
     """
     steps = materialize(steps.select(F.col("a").alias("x"), F.col("b").alias("y")), "steps")
     pairs = materialize(pairs, "pairs")
     sources = pairs.select(F.col("a").alias("s")).distinct()
     wanted = pairs.select(F.col("a").alias("s"), F.col("b").alias("n")).distinct()
     seen = sources.select("s", F.col("s").alias("n"), F.lit(0).alias("distance"))
-    front = seen
-    for d in range(1, longest + 1):
+    front, d = seen, 0
+    while longest is None or d < longest:
+        d += 1
         reached = front.join(steps, F.col("n") == F.col("x")).select("s", F.col("y").alias("n")).distinct()
         front = materialize(reached.join(seen, ["s", "n"], "left_anti").withColumn("distance", F.lit(d)), "front")
         if not front.take(1):
             break
         seen = seen.unionByName(front)
+        if d % CUT_EVERY == 0:
+            seen = materialize(seen, "seen")
         if not wanted.join(seen, ["s", "n"], "left_anti").take(1):
             break
     known = seen.select(F.col("s").alias("a"), F.col("n").alias("b"), "distance")

@@ -94,6 +94,17 @@ def test_walks_and_paths_match_brute_force(spark):
         assert far == {g: len(paths[g]) - 1 if g in paths else 99 for g in p}
 
 
+def test_long_chains_are_followed(spark):
+    p = [f"n{i:03d}" for i in range(103)]
+    nodes = spark.createDataFrame([(x, x) for x in p], "path string, title string")
+    edges = spark.createDataFrame([(a, b, "wikilink", 1.0) for a, b in zip(p, p[1:])], "src string, dst string, type string, weight double")
+    end = lambda x: nodes.where(f"path = '{x}'").select("path")
+    assert [(r["hops"], r["path_nodes"]) for r in traverse.shortest_path(nodes, edges, end(p[0]), end(p[52])).collect()] == [(52, p[:53])]
+    assert traverse.shortest_path(nodes, edges, end(p[0]), end(p[9]), 4).count() == 0
+    pairs = spark.createDataFrame([(p[0], p[102]), (p[0], p[60])], "a string, b string")
+    assert {r["b"]: r["distance"] for r in traverse.distances(traverse.structural_view(nodes, edges), pairs).collect()} == {p[102]: 102, p[60]: 60}
+
+
 def test_betweenness_matches_brute_force(spark):
     p, rows, nodes, edges = _random_graph(spark, random.Random(4), 9, 16)
     near = {x: set() for x in p}
