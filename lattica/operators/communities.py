@@ -2,67 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.centrality import degrees
+from lattica.session import materialize
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(path, community): deterministic Louvain on the undirected weighted projection.
 
-    Notes move in path order; a pair with two directions takes the larger weight. Modularity optimisation is
-    sequential, so one task holds the integer-coded edge list (16 bytes an edge); everything before and after it is distributed.
-    Notes without edges are communities of their own. Ids are ordered by their first path.
+    Notes move in path order; a pair with two directions takes the larger weight. Modularity optimisation is sequential, so
+    one task holds all edges, as arrays of integer codes that joins have put in place of the paths; its memory grows with
+    the edges, without a bound. Everything before and after it is distributed. Notes without edges are communities of
+    their own. Ids are ordered by their first path.
     """
-    und = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("w"))
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("w"))
+    pairs = materialize(pairs, "pairs")
+    # rising with the path, as ids rise over the sorted partitions
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("path")).distinct().orderBy("path")
+    codes = materialize(ends.withColumn("code", F.monotonically_increasing_id()), "codes")
+    side = lambda c: codes.select(F.col("path").alias(c), F.col("code").alias(f"_{c}"))
+    coded = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("w").cast("double").alias("w"), F.lit(0).alias("_one"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        paths = sorted(set(pdf["a"]) | set(pdf["b"]))
-        code = {p: i for i, p in enumerate(paths)}
-        graph: list[dict[int, float]] = [{} for _ in paths]
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"]):
-            graph[code[a]][code[b]] = graph[code[b]][code[a]] = w
-        member = list(range(len(paths)))
-        while True:
-            labels, moved = _move(graph, resolution)
-            names = {c: i for i, c in enumerate(dict.fromkeys(labels))}
-            labels = [names[c] for c in labels]
-            member = [labels[m] for m in member]
-            if not moved or len(names) == len(graph):
-                break
-            merged: list[dict[int, float]] = [{} for _ in names]
-            for v, near in enumerate(graph):
-                for u, w in near.items():
-                    c, d = labels[v], labels[u]
-                    # an inner link is seen from both ends; a loop holds it once
-                    merged[c][d] = merged[c].get(d, 0.0) + (w / 2 if c == d and u != v else w)
-            graph = merged
-        return pd.DataFrame({"path": paths, "c": member})
-
-    found = und.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "path string, c long").select("path", "c")
+        ids, member = _communities(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy(), resolution)
+        return pd.DataFrame({"code": ids, "c": member})
+
+    found = coded.groupBy("_one").applyInPandas(run, "code long, c long").join(codes, "code").select("path", "c")
+    found = materialize(found, "found")
     named = found.join(found.groupBy("c").agg(F.min("path").alias("first")), "c").select("path", "first")
     return nodes.select("path").distinct().join(named, "path", "left").select("path", F.coalesce("first", "path").alias("community"))
 
 
-def _move(graph: list[dict[int, float]], resolution: float) -> tuple[list[int], bool]:
-    """One level: nodes move to the neighbouring community of largest gain until none does."""
-    strength = [sum(w * (2 if u == v else 1) for u, w in near.items()) for v, near in enumerate(graph)]
+def _communities(a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in order and the community of each, for undirected edges between ``a`` and ``b``."""
+    ids = np.unique(np.concatenate([np.unique(a), np.unique(b)]))
+    a, b = np.searchsorted(ids, a).astype(np.int32), np.searchsorted(ids, b).astype(np.int32)
+    two = a != b
+    src, dst, w = np.concatenate([a, b[two]]), np.concatenate([b, a[two]]), np.concatenate([w, w[two]])
+    n, member = len(ids), np.arange(len(ids))
+    while True:
+        order = np.lexsort((dst, src))
+        src, dst, w = src[order], dst[order], w[order]
+        labels, moved = _move(src, dst, w, n, resolution)
+        _, first, labels = np.unique(labels, return_index=True, return_inverse=True)
+        labels = np.argsort(np.argsort(first))[labels]  # numbered by first member
+        member, k = labels[member], len(first)
+        if not moved or k == n:
+            return ids, member
+        c, d = labels[src], labels[dst]
+        # an inner link is seen from both ends; a loop holds it once
+        w = np.where((c == d) & (src != dst), w / 2, w)
+        pair, at = np.unique(c.astype(np.int64) * k + d, return_inverse=True)
+        src, dst, w, n = (pair // k).astype(np.int32), (pair % k).astype(np.int32), np.bincount(at, w), k
+
+
+def _move(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolution: float) -> tuple[list[int], bool]:
+    """One level, over edges in order of ``src``: nodes move to the neighbouring community of largest gain until none does."""
+    at = np.searchsorted(src, np.arange(n + 1)).tolist()
+    strength = np.bincount(src, np.where(src == dst, 2 * w, w), n).tolist()
     whole = sum(strength)
-    label, total = list(range(len(graph))), list(strength)
+    label, total = list(range(n)), list(strength)
     moved, again = False, whole > 0
     while again:
         again = False
-        for v, near in enumerate(graph):
+        for v in range(n):
             own, k = label[v], strength[v]
             total[own] -= k
             links: dict[int, float] = {own: 0.0}
-            for u, w in near.items():
+            for u, x in zip(dst[at[v] : at[v + 1]].tolist(), w[at[v] : at[v + 1]].tolist()):
                 if u != v:
-                    links[label[u]] = links.get(label[u], 0.0) + w
+                    links[label[u]] = links.get(label[u], 0.0) + x
             best, gain = own, links[own] - resolution * total[own] * k / whole
             for c in sorted(links):
                 g = links[c] - resolution * total[c] * k / whole

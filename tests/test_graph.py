@@ -164,6 +164,22 @@ def test_louvain_finds_cliques_and_is_stable(spark):
     assert communities.louvain(nodes, edges.limit(0)).count() == 11
 
 
+def test_louvain_task_gets_codes_not_paths(spark, monkeypatch):
+    sent = []
+    group = type(spark.range(1).groupBy())
+    apply = group.applyInPandas
+
+    def watched(self, run, schema):
+        sent.append(self._df.dtypes)
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(group, "applyInPandas", watched)
+    edges = spark.createDataFrame([("b", "a", "wikilink", 1.0), ("a", "b", "embed", 2.0), ("c", "c", "wikilink", 1.0)], "src string, dst string, type string, weight double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    assert {r["path"]: r["community"] for r in communities.louvain(nodes, edges).collect()} == {"a": "a", "b": "a", "c": "c"}
+    assert sent and all(kind != "string" for kinds in sent for _, kind in kinds)
+
+
 def test_reading_sets_search_and_suggestions(vault):
     notes, edges, _ = vault
     pack = insights.context_pack(notes, edges, "Medallion Architecture", 1500).collect()
