@@ -18,20 +18,23 @@ from pyspark.sql import types as T
 
 KINDS = ("form", "combining", "invisible", "space", "lookalike")
 
-# Letters of other scripts and the Latin letters that look the same.
+# Letters of other scripts and the Latin letters that they are drawn like. Letters that only resemble one
+# (Cyrillic к, м, н, т, в in lower case, и, п, З; Greek η, σ, τ, ω) are left out.
 LOOKALIKES = {
-    # Cyrillic
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ӏ": "l", "ѵ": "v", "ո": "n", "г": "r", "к": "k", "м": "m", "н": "h", "т": "t", "в": "b", "п": "n", "и": "u", "ё": "ë", "ү": "y", "ɡ": "g",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ї": "Ï",
-    "Ј": "J", "Һ": "H", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V", "Ё": "Ë", "Ү": "Y", "З": "3",
-    # Greek
-    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "η": "n", "σ": "o", "ϲ": "c", "ϳ": "j",
-    "ά": "á", "έ": "é", "ί": "í", "ό": "ó", "ύ": "ú", "ϊ": "ï", "ϋ": "ü", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M",
-    "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    # Armenian and Cherokee
-    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "Օ": "O", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R",
-    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "CYRILLIC": {
+        "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+        "ӏ": "l", "ѵ": "v", "ё": "ë", "ү": "y", "ѐ": "è", "ӑ": "ă", "ӓ": "ä", "ӗ": "ĕ", "ӧ": "ö", "ӱ": "ÿ", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O",
+        "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ї": "Ï", "Ј": "J", "Һ": "H", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V", "Ё": "Ë", "Ү": "Y",
+        "Ѐ": "È", "Ӑ": "Ă", "Ӓ": "Ä", "Ӗ": "Ĕ", "Ӧ": "Ö",
+    },
+    "GREEK": {
+        "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "ά": "á", "ί": "í", "ό": "ó", "ύ": "ú", "ϊ": "ï", "ϋ": "ü",
+        "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Ϊ": "Ï", "Ϋ": "Ÿ",
+    },
+    "ARMENIAN": {"օ": "o", "ս": "u", "հ": "h", "ց": "g", "ո": "n", "Օ": "O", "Ս": "U"},
+    "CHEROKEE": {
+        "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    },
 }
 
 # Characters that show nothing, besides those of general category Cf.
@@ -57,13 +60,15 @@ def _class(c: str) -> str:
     if not ud.is_normalized("NFKC", c) and c not in _KEEP_FORM:
         kind = ud.decomposition(c)
         return "styled" if kind.startswith("<") and not kind.startswith("<noBreak") and ud.normalize("NFKC", c).isalnum() else "form"
-    if cat[0] == "L" and cat != "Lm" and c > "\u024f" and not ud.name(c, "").startswith(_OWN_SCRIPTS):
+    if cat[0] == "L" and cat != "Lm" and c > "\u024f" and _script(c) != "LATIN":
         return "other"
     return ""
 
 
-#: Scripts whose letters are no look-alikes of Latin ones, and Latin itself.
-_OWN_SCRIPTS = ("LATIN", "CJK", "HANGUL", "HIRAGANA", "KATAKANA", "YI ", "MODIFIER")
+@functools.cache
+def _script(c: str) -> str:
+    """The script of a letter, by the first word of its name."""
+    return ud.name(c, "?").split(" ", 1)[0].split("-", 1)[0]
 
 
 @functools.lru_cache(4096)
@@ -79,27 +84,63 @@ def _marked(marks: frozenset[str]) -> re.Pattern:
 
 _LATIN = re.compile("[A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ]")
 _WORD = re.compile(r"[^\W_]+")
-_TO_LATIN = str.maketrans(LOOKALIKES)
-_FROM_LATIN = {}
-for _other, _latin in LOOKALIKES.items():
-    if "Ѐ" <= _other <= "ӿ" and _latin not in _FROM_LATIN:
-        _FROM_LATIN[_latin] = _other
-
-
-def _one_script(word: str, foreign: list[str]) -> str:
-    """A mixed word in one script: Latin where all its other letters have a Latin look-alike, else the other way round."""
-    if all(c in LOOKALIKES for c in foreign):
-        return word.translate(_TO_LATIN)
-    if all(c in _FROM_LATIN for c in _LATIN.findall(word)):
-        return "".join(_FROM_LATIN.get(c, c) if _LATIN.match(c) else c for c in word)
-    return word.translate(_TO_LATIN)
+#: A word with the marks that stand on its letters.
+_MARKED_WORD = re.compile("[^\\W_]+(?:[\u0300-\u036f]+[^\\W_]*)*")
+_TO_LATIN = {c: latin for twins in LOOKALIKES.values() for c, latin in twins.items()}
+_FROM_LATIN = {script: {latin: c for c, latin in reversed(twins.items())} for script, twins in LOOKALIKES.items()}
+#: Words on each side that speak for a script where a word's own letters leave several.
+NEIGHBOURS = 3
+
+
+def _in_script(word: str, script: str) -> str | None:
+    """``word`` with all its letters in ``script``, or None where one has no twin there."""
+    out = []
+    for c in word:
+        own = _script_of(c)
+        if own and own != script:
+            latin = _TO_LATIN.get(c, c if own == "LATIN" else None)
+            c = latin if script == "LATIN" else _FROM_LATIN.get(script, {}).get(latin)
+            if c is None:
+                return None
+        out.append(c)
+    return "".join(out)
+
+
+def _script_of(c: str) -> str:
+    """Script of a letter, '' for digits, marks and modifiers."""
+    if "a" <= c <= "z" or "A" <= c <= "Z":
+        return "LATIN"
+    return _script(c) if (cat := ud.category(c))[0] == "L" and cat != "Lm" and c not in _KEEP_FORM else ""
+
+
+def _one_script(text: str, start: int, word: str) -> str:
+    """A mixed word of ``text`` in one of its own scripts, chosen by its letters and, where these leave several, by its neighbours.
+
+    A script is possible if all letters of the others have a twin in it; a word for which none is possible stays as it is. Else
+    the script of most letters in the nearest words of one script wins, then that of most letters of the word, then Latin.
+    """
+    counts: dict[str, int] = {}
+    for c in word:
+        if k := _script_of(c):
+            counts[k] = counts.get(k, 0) + 1
+    forms = {k: f for k in sorted(counts, key=lambda k: (k != "LATIN", k)) if (f := _in_script(word, k)) is not None}
+    if len(forms) < 2:
+        return next(iter(forms.values()), word)
+    near = dict.fromkeys(forms, 0)
+    for words_near in (_WORD.findall(text, max(0, start - 200), start)[-NEIGHBOURS:], _WORD.findall(text, start + len(word), start + len(word) + 200)[:NEIGHBOURS]):
+        for w in words_near:
+            kinds = {k for c in w if (k := _script_of(c))}
+            if len(kinds) == 1 and (k := kinds.pop()) in near:
+                near[k] += len(w)
+    return forms[max(forms, key=lambda k: (near[k], counts[k]))]
 
 
 def unify(text: str) -> tuple[str, list[str]]:
     """The text in one form, and which kinds of change it needed, in the order of ``KINDS``.
 
     ASCII text and text without any unstable character or letter of a look-alike script is returned as it is.
-    Composed letters, emoji sequences, marks without a composed form and whole words of another script stay.
+    Composed letters, emoji sequences, marks without a composed form and whole words of another script stay; so do
+    mixed words that can't be written in one of their scripts, though they are reported.
     """
     if text.isascii():
         return text, []
@@ -139,8 +180,7 @@ def unify(text: str) -> tuple[str, list[str]]:
             return composed
 
         text = _segments(unstable).sub(canonical, text)
-        if unstable - marks and not others:
-            others = {c for c in set(text) if c > "\x7f" and _class(c) == "other"}
+        others = {c for c in set(text) if c > "\x7f" and _class(c) == "other"}
     if others and _LATIN.search(text):
 
         def one(m: re.Match) -> str:
@@ -148,9 +188,10 @@ def unify(text: str) -> tuple[str, list[str]]:
             if w.isascii() or others.isdisjoint(w) or not _LATIN.search(w):
                 return w
             kinds.add("lookalike")
-            return _one_script(w, [c for c in w if c in others])
+            # a mark may have waited for the letter that it composes with
+            return ud.normalize("NFC", _one_script(m.string, m.start(), w))
 
-        text = _WORD.sub(one, text)
+        text = _MARKED_WORD.sub(one, text)
     return text, [k for k in KINDS if k in kinds]
 
 

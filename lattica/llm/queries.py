@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata as ud
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(plan, mixing.mix_texts(supply, plan))
 
 
+def _one_form(text: str) -> str:
+    """SQL for the words of ``text`` in one form: lower case, no invisible characters, styled letters and look-alikes as plain ones."""
+    styled = [c for c in map(chr, [*range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800)]) if len(ud.normalize("NFKC", c)) == 1 and ud.normalize("NFKC", c) != c]
+    plain = f"translate({text}, '{''.join(styled)}', '{''.join(ud.normalize('NFKC', c) for c in styled)}')"
+    for c in map(chr, range(0xFB00, 0xFB07)):
+        plain = f"replace({plain}, '{c}', '{ud.normalize('NFKC', c)}')"
+    twins = {c.lower(): x.lower() for table in lookalike.LOOKALIKES.values() for c, x in table.items()}
+    bare = f"translate(lower(nfc_normalize(regexp_replace({plain}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'))), '{''.join(twins)}', '{''.join(twins.values())}')"
+    return f"regexp_extract_all(replace(nfc_normalize({bare}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
@@ -115,6 +128,11 @@ WITH t AS (SELECT doc_id, text, regexp_replace(text, '([\\x{2190}-\\x{2BFF}\\x{1
        CASE WHEN regexp_matches(regexp_replace(x, '[\\x{AD}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g'), '\\p{Latin}\\p{N}*[\\p{Cyrillic}\\p{Greek}]|[\\p{Cyrillic}\\p{Greek}]\\p{N}*\\p{Latin}') THEN 'lookalike' END
      ], lambda y: y IS NOT NULL) kinds FROM t)
 SELECT DISTINCT doc_id, unnest(kinds) kind FROM k""",
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, {_one_form('text')} w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_one_form('text')} w FROM eval_items WHERE text IS NOT NULL),
+     dg AS (SELECT doc_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) j FROM d)),
+     ig AS (SELECT item_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) j FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g""",
     "p2_found": """
 SELECT DISTINCT note_id, 'split' kind FROM parsed_notes WHERE length(body) > 1600
 UNION SELECT note_id, 'hard' FROM (SELECT note_id, unnest(regexp_split_to_array(body, '[\\s.!?;,。！？；，、]')) run FROM parsed_notes) WHERE length(run) > 1600""",

@@ -40,8 +40,9 @@ def test_leaks_match_brute_force(spark):
     b = spark.createDataFrame([(i, t, "s") for i, t in items], "item_id long, text string, _item string")
     got = [tuple(x) for x in K.find_leaks(a, b).collect()]
     assert len(got) == len(set(got)) and set(got) == _brute(docs, items, 20) and len(got) > 20
-    got = {tuple(x) for x in K.find_leaks(a, b, run=8).collect()}
-    assert got == _brute(docs, items, 8)
+    for by in (0, K.BROADCAST_BYTES):  # joined, and sent to every worker
+        assert {tuple(x) for x in K.find_leaks(a, b, run=8, broadcast_bytes=by).collect()} == _brute(docs, items, 8)
+    assert set(map(tuple, K.find_leaks(a, b, broadcast_bytes=0).collect())) == _brute(docs, items, 20)
     assert K.find_leaks(a.limit(0), b).count() == 0 and K.find_leaks(a, b.limit(0)).count() == 0
 
 
@@ -50,3 +51,18 @@ def test_one_hot_passage_in_many_documents(spark):
     a = spark.createDataFrame([(d, f"{d} {text}") for d in range(3000)], "doc_id long, text string")
     b = spark.createDataFrame([(1, text), (2, "other " + text)], "item_id long, text string")
     assert K.find_leaks(a, b).count() == 6000
+
+
+def test_size_partitions(spark):
+    assert [K.run_for_size(n, 20, 0.5) for n in (5, 20, 39, 40, 79, 80, 160, 1000)] == [20, 20, 20, 20, 20, 40, 80, 320]
+    assert {K.run_for_size(n) for n in range(2000)} == {20}
+    item = [f"t{i}" for i in range(100)]
+    a = spark.createDataFrame([(n, " ".join(item[7 : 7 + n])) for n in (19, 20, 39, 40, 60)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:30]))], "item_id long, text string")
+    for by in (0, K.BROADCAST_BYTES):
+        got = {tuple(x) for x in K.find_leaks(a, b, share=0.5, broadcast_bytes=by).collect()}
+        assert got == {(40, 1), (60, 1), *[(n, 2) for n in (20, 39, 40, 60)]}
+
+
+def test_letters_recomposed_after_their_script_is_set():
+    assert words("d\u0435\u0301jà") == words("déjà") == ["déjà"]

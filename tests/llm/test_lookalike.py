@@ -44,3 +44,16 @@ def test_words():
     for _ in range(50):
         tokens = ["".join(r.choices("abcde", k=r.randint(1, 6))) for _ in range(10)]
         assert L.words(" *".join(t.upper() if r.random() < 0.3 else t for t in tokens)) == tokens
+
+
+def test_script_follows_letters_and_neighbours():
+    cases = {
+        "Высокая cосна растёт": "Высокая сосна растёт", "pост": "рост", "oрen door": "open door", "αβγtest": "αβγtest", "the сoр of": "the cop of", "Оса, лес: cор": "Оса, лес: сор",
+        "d\u0435\u0301jà": "déjà", "b\u0435\u0308": "bë", "Tシャツ": "Tシャツ", "x\u0301аx": "x\u0301ax",
+    }
+    for text, want in cases.items():
+        assert L.unify(text)[0] == want and "lookalike" in L.unify(text)[1], text
+    # a styled letter of another script counts though the text holds others already
+    assert L.unify("мир p\U0001d6fct")[1] == ["form", "lookalike"]
+    for script, twins in L.LOOKALIKES.items():
+        assert all(L._script(c) == script and L._script_of(x) == "LATIN" for c, x in twins.items()), script
