@@ -28,8 +28,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Every piece of every note, as code point positions."""
-    return _pieces(spark, d).distinct().select("note_id", F.posexplode("pieces").alias("piece", "p")).select("note_id", "piece", F.col("p.start").alias("start"), F.col("p.end").alias("stop"), F.col("p.cut").alias("cut"))
+    """Every piece of every note, with its place in code points."""
+    pieces = splitting.piece_texts(_table(spark, d, "parsed_notes", "note_id", "body"), "note_id", "body")
+    return pieces.withColumnRenamed("end", "stop").dropDuplicates(["note_id", "piece", "start", "stop"])
+
+
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What every note's pieces give when put together again, and whether they keep limit and overlap."""
+    pieces = splitting.split_texts(_table(spark, d, "parsed_notes", "note_id", "body"), "note_id", "body", with_content=True)
+    return splitting.put_together(pieces, "note_id").select("note_id", F.md5("rebuilt").alias("rebuilt"), "fits", "overlapping").distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +117,7 @@ def _one_form(text: str) -> str:
     return f"regexp_extract_all(replace(nfc_normalize({bare}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
     "p5_found": """
@@ -133,6 +140,7 @@ WITH d AS (SELECT doc_id, {_one_form('text')} w FROM documents WHERE text IS NOT
      dg AS (SELECT doc_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) j FROM d)),
      ig AS (SELECT item_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) j FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g""",
+    "p2_rebuilt": "SELECT DISTINCT note_id, md5(body) rebuilt, true fits, true overlapping FROM parsed_notes WHERE body IS NOT NULL",
     "p2_found": """
 SELECT DISTINCT note_id, 'split' kind FROM parsed_notes WHERE length(body) > 1600
 UNION SELECT note_id, 'hard' FROM (SELECT note_id, unnest(regexp_split_to_array(body, '[\\s.!?;,。！？；，、]')) run FROM parsed_notes) WHERE length(run) > 1600""",
