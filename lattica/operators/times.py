@@ -8,6 +8,7 @@ interval a time that a clock change skipped, one plain interval gives the offset
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import re
 import struct
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.session import materialize
+
 # Month names (English, German, French, Spanish, Russian genitive) by their first letters.
 MONTHS = {
     "jan": 1, "january": 1, "januar": 1, "janvier": 1, "enero": 1, "ene": 1, "января": 1, "jänner": 1,
@@ -34,6 +37,9 @@ MONTHS = {
     "dec": 12, "dez": 12, "december": 12, "dezember": 12, "décembre": 12, "decembre": 12, "diciembre": 12, "dic": 12, "декабря": 12,
 }
 
+# Words beside a time that name no zone.
+NO_ZONE = ("UHR", "H", "HRS", "HOURS", "HEURES", "HORAS")
+
 # Offsets in minutes of common abbreviations, for zones that don't use the abbreviation themselves.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "Z": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180,
@@ -49,7 +55,7 @@ _DATES = [
     r"(?P<iy>\d{4})-?W(?P<iw>\d{2})-?(?P<id>\d)",
     r"(?P<y>\d{4})-(?P<doy>\d{3})",
     r"(?P<a>\d{1,2})(?P<sep>[-/.])(?P<b>\d{1,2})(?P=sep)(?P<y>\d{4})",
-    r"(?:[^\W\d_]{2,10}\.?,?\s+)?(?P<d>\d{1,2})(?:st|nd|rd|th)?\.?(?:\s+de)?[\s-]+(?P<mon>[^\W\d_]{3,10})\.?(?:\s+de)?,?[\s-]+(?P<y>\d{4})",
+    r"(?:[^\W\d_]{2,10}\.?,?\s+)?(?P<d>\d{1,2})(?:st|nd|rd|th)?\.?(?:\s+de)?[\s-]+(?P<mon>[^\W\d_]{3,10})\.?(?:\s+de)?,?[\s-]+(?P<y>\d{4})(?:\s*г(?:\.|ода?\b))?",
     r"(?:[^\W\d_]{2,10}\.?,\s+)?(?P<mon>[^\W\d_]{3,10})\.?\s+(?P<d>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<y>\d{4})",
 ]
 _PATTERNS = [re.compile(rf"{d}(?:(?:\s*[Tt]|\s*,)?\s*(?<![0-9]){_TIME}{_ZONE})?") if i != 0 else re.compile(rf"{d}(?:(?:[Tt]|,?\s+){_TIME}{_ZONE})?") for i, d in enumerate(_DATES)]
@@ -67,6 +73,7 @@ PARSED = T.StructType([
     T.StructField("offset_s", T.IntegerType()),
     T.StructField("zone", T.StringType()),
     T.StructField("abbr", T.StringType()),
+    T.StructField("unknown", T.BooleanType()),
     T.StructField("at_us", T.LongType()),
 ])
 
@@ -85,18 +92,26 @@ def _offset(text: str) -> int | None:
     return (-1 if text[0] == "-" else 1) * (h * 3600 + m * 60 + s)
 
 
+@functools.cache
+def _zone_names() -> dict[str, str]:
+    """Names of the tz database by their lower-case forms."""
+    import zoneinfo
+
+    return {n.lower(): n for n in zoneinfo.available_timezones()}
+
+
 def parse_moment(text: str | None, order: str | None) -> tuple | None:
-    """(local microseconds, offset seconds, zone name, abbreviation), or None for anything but a valid full date.
+    """(local microseconds, offset seconds, zone name, abbreviation, unknown), or None for anything but a valid full date.
 
-    ``order`` ('dmy' or 'mdy'; None means 'dmy') reads numeric dates that end in the year. At most one of the
-    last three is set; an offset beside a zone name wins.
+    ``order`` ('dmy' or 'mdy'; None means 'dmy') reads numeric dates that end in the year. At most one of offset, zone and
+    abbreviation is set; an offset beside a zone name wins. ``unknown`` marks a region that the tz database lacks.
     """
     if text is None:
         return None
     text = text.strip(_QUOTES)
     if text.isascii() and text.isdigit():
         if len(text) in _EPOCH:
-            return int(text) * _EPOCH[len(text)], 0, None, None
+            return int(text) * _EPOCH[len(text)], 0, None, None, False
         if len(text) not in (8, 14):
             return None
     m = _COMPACT.fullmatch(text)
@@ -134,13 +149,14 @@ def parse_moment(text: str | None, order: str | None) -> tuple | None:
         return None
     if g.get("off"):
         off = _offset(g["off"])
-        return None if off is None else (local, off, None, None)
-    name = g.get("zn") or g.get("za")
-    if not name:
-        return local, None, None, None
+        return None if off is None else (local, off, None, None, False)
+    name = (g.get("zn") or g.get("za") or "").strip()
+    if not name or name.upper() in NO_ZONE:
+        return local, None, None, None, False
     if "/" in name:
-        return local, None, name, None
-    return local, None, None, name.upper()
+        zone = _zone_names().get(name.lower())
+        return local, None, zone, None, zone is None
+    return local, None, None, name.upper(), False
 
 
 _FIRST_US, _END_US = _us(dt.datetime(FIRST_YEAR, 1, 1)), _us(dt.datetime(LAST_YEAR + 1, 1, 1))
@@ -157,13 +173,16 @@ def _covered(local: int) -> int:
     return local - (begin - like).days * 86_400_000_000
 
 
-@F.pandas_udf(PARSED)
 def _parse(text: pd.Series, order: pd.Series) -> pd.DataFrame:
     found = (parse_moment(t, o) for t, o in zip(text, order))
-    rows = [(*p, _covered(p[0])) if p else (None,) * 5 for p in found]
+    rows = [(*p, _covered(p[0])) if p else (None,) * 6 for p in found]
     return pd.DataFrame(rows, columns=PARSED.names).astype({"local_us": "Int64", "offset_s": "Int32", "at_us": "Int64"})
 
 
+# not deterministic for the optimiser, so that a filter on the result does not evaluate it a second time
+_parsed = F.pandas_udf(_parse, PARSED).asNondeterministic()
+
+
 def zone_intervals(zones: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     """``zones(zone)`` to rows (zone, year, lo, hi, matches, before_s) over local microseconds lo <= t < hi.
 
@@ -179,7 +198,7 @@ def zone_intervals(zones: DataFrame, first_year: int = FIRST_YEAR, last_year: in
 
         for batch in batches:
             rows: list[tuple] = []
-            for name in batch["zone"]:
+            for name in {_zone_names().get(z.lower(), z) for z in batch["zone"]}:
                 try:
                     zone = zoneinfo.ZoneInfo(name)
                 except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError, TypeError):
@@ -261,24 +280,28 @@ def _intervals(zone: dt.tzinfo, first_year: int, last_year: int) -> list[tuple[i
 def normalize_times(rows: DataFrame, text: str, vaults: DataFrame, path: str = "path") -> DataFrame:
     """Adds ``utc_us`` and ``status`` to ``rows``; rows whose text names no valid full date are dropped.
 
-    ``vaults(vault, time_zone, date_order)`` is matched by the first segment of ``path``; a vault that is not
-    listed, or a zone name that is unknown, counts as UTC. status: ``offset`` (stated or epoch), ``direct``,
-    ``ambiguous`` (the first instant is taken), ``nonexistent`` (moved forward by the skipped span).
-    Years outside the interval tables are looked up in a year with the same clock changes. Nulls and empty strings give no row; repeated rows stay repeated.
+    ``vaults(vault, time_zone, date_order)`` is matched by the first segment of ``path``. status: ``offset`` (stated or
+    epoch), ``direct``, ``ambiguous`` (the first instant is taken), ``nonexistent`` (moved forward by the skipped span),
+    ``unknown_zone``: the string names a zone or abbreviation that neither the tz database nor the vault's zone nor the fixed
+    list knows, and is read in the vault's zone; or it needs the vault's zone and the vault is not listed or has no valid zone,
+    and is read as UTC. Years outside the interval tables are looked up in a year with the same clock changes.
+    Nulls and empty strings give no row; repeated rows stay repeated. Each string is parsed once.
     Other columns of ``rows`` pass through, except ones named like the added columns, which are replaced.
     """
     keep = [c for c in rows.columns if c not in ("utc_us", "status")]
     own = vaults.groupBy(F.col("vault").alias("_vault")).agg(F.min("time_zone").alias("_tz"), F.min("date_order").alias("_order"))
     packed = rows.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.col(text).alias("_text"), F.split_part(F.col(path), F.lit("/"), F.lit(1)).alias("_seg"))
     placed = packed.join(F.broadcast(own), F.col("_seg") == F.col("_vault"), "left")
-    parsed = placed.withColumn("_p", _parse(F.col("_text"), F.col("_order"))).where("_p.local_us is not null")
-    local = parsed.select("_keep", F.col("_p.local_us").alias("_local"), F.col("_p.at_us").alias("_at"), F.col("_p.offset_s").alias("_off"), F.col("_p.abbr").alias("_abbr"), F.coalesce("_p.zone", "_tz", F.lit("UTC")).alias("_zone"))
+    parsed = placed.select("_keep", "_tz", _parsed(F.col("_text"), F.col("_order")).alias("_p")).where("_p.local_us is not null")
+    local = parsed.select(
+        "_keep", F.col("_p.local_us").alias("_local"), F.col("_p.at_us").alias("_at"), F.col("_p.offset_s").alias("_off"), F.col("_p.abbr").alias("_abbr"), F.col("_p.unknown").alias("_unknown"),
+        F.coalesce("_p.zone", "_tz", F.lit("UTC")).alias("_zone"), F.coalesce("_p.zone", "_tz").isNull().alias("_zoneless"),
+    )
     fixed = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v * 60))])
-    # only rows that name a zone are parsed for this second branch
-    bracket = F.col("_text").rlike(r"[A-Za-z]/[A-Za-z]")
-    named = placed.where(bracket).select(_parse(F.col("_text"), F.col("_order"))["zone"].alias("zone")).where("zone is not null")
+    # names are found by pattern alone; those that are no zones have no intervals
+    named = rows.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z][A-Za-z_+\-0-9]*(?:/[A-Za-z0-9_+\-]+)+"), 0)).alias("zone")).distinct()
     # at most the names of the tz database: a few hundred zones of a few hundred intervals each
-    spans = zone_intervals(named.union(vaults.select("time_zone")).distinct())
+    spans = materialize(zone_intervals(named.union(vaults.select("time_zone")).union(rows.sparkSession.createDataFrame([("UTC",)], "zone string"))), "zones")
     usual = spans.select("zone", "lo", F.explode("matches").alias("m")).groupBy(F.col("zone").alias("_uz"), F.col("m.abbr").alias("_ua")).agg(F.max_by("m.offset_s", "lo").alias("_uo"))
     spans = spans.select(F.col("zone").alias("_z"), F.col("year").alias("_y"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("matches").alias("_m"), F.col("before_s").alias("_before"))
     holds = (F.col("_zone") == F.col("_z")) & (F.year(F.timestamp_micros(F.col("_at"))) == F.col("_y")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
@@ -286,7 +309,8 @@ def normalize_times(rows: DataFrame, text: str, vaults: DataFrame, path: str = "
     same = F.filter("_m", lambda m: m["abbr"] == F.col("_abbr"))
     by_abbr = F.when(F.col("_abbr").isNotNull() & (F.size(same) > 0), F.get(same, F.lit(0))["offset_s"])
     stated = F.coalesce(F.col("_off"), by_abbr, F.col("_uo"), fixed[F.col("_abbr")])
-    n = F.coalesce(F.size("_m"), F.lit(-1))  # -1: no interval is known
+    n = F.coalesce(F.size("_m"), F.lit(-1))  # -1: the vault's zone is no name of the tz database
     offset = F.coalesce(stated, F.when(n > 0, F.array_max(F.transform("_m", lambda m: m["offset_s"]))), F.col("_before"), F.lit(0))
-    status = F.when(stated.isNotNull(), "offset").when(n == 0, "nonexistent").when(n > 1, "ambiguous").otherwise("direct")
+    lost = F.col("_abbr").isNotNull() | F.col("_unknown") | F.col("_zoneless") | (n < 0)
+    status = F.when(stated.isNotNull(), "offset").when(lost, "unknown_zone").when(n == 0, "nonexistent").when(n > 1, "ambiguous").otherwise("direct")
     return placed_in.select(*[F.col("_keep")[c].alias(c) for c in keep], (F.col("_local") - offset.cast("long") * 1_000_000).alias("utc_us"), status.alias("status"))

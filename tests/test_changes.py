@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -44,15 +45,53 @@ def test_store_swaps_versions_and_ignores_unfinished_ones(spark, tmp_path):
     assert store.publish(_kv(spark, [("a", "1")])) == 0
     _kv(spark, [("zz", "9")]).write.parquet(str(tmp_path / "s" / "v=1-unfinished"))  # a run that died before it published
     assert [tuple(r) for r in store.read().collect()] == [("a", "1")]
-    todo = C.diff(_kv(spark, [("a", "1"), ("b", "2")]), store.read())
-    assert [tuple(r) for r in todo.collect()] == [("b", "added")]
-    again = C.StateStore(spark, str(tmp_path / "s"))
-    assert again.publish(C.merge(_kv(spark, [("a", "1"), ("b", "2")]))) == 1
-    assert C.diff(_kv(spark, [("a", "1"), ("b", "2")]), store.read()).count() == 0
-    other = C.StateStore(spark, str(tmp_path / "s"))
-    other.version = lambda: 0  # sees an old version, so its number is taken
+    assert C.StateStore(spark, str(tmp_path / "s")).publish(_kv(spark, [("a", "1"), ("b", "2")])) == 1
+    assert C.diff(_kv(spark, [("a", "1"), ("b", "2")]), store.read()).count() == 0 and store.read(0).count() == 1
+    cut = tmp_path / "s" / "_published" / "2"
+    cut.write_text("v=2-cut off")  # no line end: being written, or its writer died
     with pytest.raises(RuntimeError):
-        other.publish(_kv(spark, []))
+        store.publish(_kv(spark, [("c", "1")]))
+    os.utime(cut, (0, 0))
+    assert store.version() == 1 and store.publish(_kv(spark, [("c", "1")])) == 2 and store.version() == 2
+
+
+def test_two_runs_and_a_crash(spark, tmp_path):
+    store, one, two = C.StateStore(spark, str(tmp_path / "s")), _kv(spark, [("a", "1"), ("b", "2")]), _kv(spark, [("a", "1"), ("b", "3"), ("c", "4")])
+    assert sorted(map(tuple, C.process_changes(store, one, lambda c: c.select("key")).collect())) == [("a", "added"), ("b", "added")]
+
+    def dies(changes):
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError):
+        C.process_changes(store, two, dies)
+    assert store.version() == 0  # nothing skipped: the next run sees the same changes
+    # a run that could process only one key leaves the other to the next
+    assert sorted(map(tuple, C.process_changes(store, two, lambda c: c.where("key = 'c'").select("key")).collect())) == [("b", "updated"), ("c", "added")]
+    assert [tuple(r) for r in C.process_changes(store, two, lambda c: c.select("key")).collect()] == [("b", "updated")]
+    assert C.process_changes(store, two, lambda c: c.select("key")).count() == 0
+    assert [tuple(r) for r in C.process_changes(store, two.where("key != 'a'"), lambda c: c.select("key")).collect()] == [("a", "deleted")]
+    assert sorted(r["key"] for r in store.read().collect()) == ["b", "c"]
+
+
+def test_of_racing_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "s")
+    C.StateStore(spark, root).publish(_kv(spark, []))
+
+    def write(i):
+        try:
+            C.StateStore(spark, root).publish(_kv(spark, [(f"k{i}", "1")]), after=0)
+            return i
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [i for i in pool.map(write, range(4)) if i is not None]
+    store = C.StateStore(spark, root)
+    assert len(won) == 1 and store.version() == 1 and [r["key"] for r in store.read().collect()] == [f"k{won[0]}"]
+    with pytest.raises(RuntimeError):
+        store.publish(_kv(spark, []), after=0)
 
 
 def test_stored_state_and_current_rows(spark):

@@ -31,8 +31,10 @@ def test_formats_zones_and_clock_changes(spark):
         ("ber/a", "Tue, 03 Dec 2024 12:18:19 +0100", us(2024, 12, 3, 11, 18, 19), "offset"), ("ber/a", "16 de julio de 2024", us(2024, 7, 15, 22), "direct"), ("ber/a", "26. Mai 2024", us(2024, 5, 25, 22), "direct"),
         ("lon/a", " \"'2024-02-03'\" ", us(2024, 2, 3), "direct"), ("nyc/a", "Apr 11, 2024 1:29 pm", us(2024, 4, 11, 17, 29), "direct"), ("nyc/a", "Apr 11, 2024 12:29AM", us(2024, 4, 11, 4, 29), "direct"),
         ("ber/a", "2025-01-12T04:54:50+01:00[America/Chicago]", us(2025, 1, 12, 3, 54, 50), "offset"), ("ber/a", "2024-11-15 02:50:28 America/Chicago", us(2024, 11, 15, 8, 50, 28), "direct"),
-        ("lon/a", "2025-W02-1", us(2025, 1, 6), "direct"), ("ber/a", "20241231T110525Z", us(2024, 12, 31, 11, 5, 25), "offset"), ("odd/a", "2024-01-02", us(2024, 1, 2), "direct"), ("none/a", "2024-01-02", us(2024, 1, 2), "direct"),
-        (None, "2024-01-02", us(2024, 1, 2), "direct"), ("ber/a", "2024-01-02 10:00:00.5", us(2024, 1, 2, 9) + 500_000, "direct"), ("ber/a", "2024-1-2", us(2024, 1, 1, 23), "direct"),
+        ("lon/a", "2025-W02-1", us(2025, 1, 6), "direct"), ("ber/a", "20241231T110525Z", us(2024, 12, 31, 11, 5, 25), "offset"), ("odd/a", "2024-01-02", us(2024, 1, 2), "unknown_zone"), ("none/a", "2024-01-02", us(2024, 1, 2), "unknown_zone"),
+        ("nyc/a", "2024-07-01 10:00 Foo/Bar", us(2024, 7, 1, 14), "unknown_zone"), ("nyc/a", "2024-07-01 10:00 XYZT", us(2024, 7, 1, 14), "unknown_zone"), ("ber/a", "1.7.2024 10:00 Uhr", us(2024, 7, 1, 8), "direct"),
+        ("ber/a", "12 мая 2020 г. 10:00", us(2020, 5, 12, 8), "direct"), ("ber/a", "12 мая 2020 года", us(2020, 5, 11, 22), "direct"), ("nyc/a", "2024-07-01 10:00 europe/berlin", us(2024, 7, 1, 8), "direct"),
+        (None, "2024-01-02", us(2024, 1, 2), "unknown_zone"), ("ber/a", "2024-01-02 10:00:00.5", us(2024, 1, 2, 9) + 500_000, "direct"), ("ber/a", "2024-1-2", us(2024, 1, 1, 23), "direct"),
     ]
     bad = [("ber/a", t) for t in (None, "", "  ", "??", "2025-06", "2025-02-30", "0000-00-00", "24 Brumaire", "Q3 2025", "2025-11-31T08:00:00Z", "yesterday 10:00", "05/24/2024", "123456789", "2025-01-01 25:00", "2025-01-01T10:00+99:00", "x" * 100_000)]
     rows = [(p, t) for p, t, _, _ in cases] + bad
