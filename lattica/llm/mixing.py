@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.session import materialize
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern by which byte-level BPE vocabularies of this kind split text.
 SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -42,7 +44,8 @@ def count_tokens(rows: DataFrame, text: str, tokenizer: str = TOKENIZER) -> Data
         for b in batches:
             yield pd.Series([0 if t is None else len(encode(t)) for t in b], dtype="int64")
 
-    return rows.withColumn("tokens", count(F.col(text)))
+    # not deterministic for the optimiser, so that a filter on the count does not count a second time
+    return rows.withColumn("tokens", count.asNondeterministic()(F.col(text)))
 
 
 def source_name(col) -> F.Column:
@@ -73,8 +76,9 @@ def text_supply(docs: DataFrame, key: str, source: str, text: str, tokenizer: st
     ``BUCKETS`` parts of each source, so a source that holds much of the corpus is spread over as many groups.
     """
     sized = count_tokens(docs.select(F.col(key).alias("doc"), source_name(F.col(source)).alias("source"), F.col(text).alias("_text")).where("_text is not null and source is not null and source != ''"), "_text", tokenizer)
-    hashed = sized.where("tokens > 0").select("doc", "source", "tokens", F.unhex(F.md5("_text")).alias("_h"))
-    texts = hashed.groupBy("_h").agg(F.min_by(F.struct("doc", "source", "tokens"), "doc").alias("_t")).select("_t.*")
+    hashed = sized.select("doc", "source", "tokens", F.unhex(F.md5("_text")).alias("_h")).where("tokens > 0")
+    # written once: each text is read and counted once, whatever reads the sizes afterwards
+    texts = materialize(hashed.groupBy("_h").agg(F.min_by(F.struct("doc", "source", "tokens"), "doc").alias("_t")).select("_t.*"), "sizes")
     place = F.shiftrightunsigned(F.xxhash64("doc"), 1)
     texts = texts.withColumn("_place", place).withColumn("_part", F.shiftright("_place", 53).cast("int"))
     w = Window.partitionBy("source", "_part").orderBy("_place", "doc")
@@ -85,14 +89,14 @@ def text_supply(docs: DataFrame, key: str, source: str, text: str, tokenizer: st
 
 
 def plan_mix(supply: DataFrame, targets: DataFrame, total_tokens: int | None = None, tilt: float = TILT) -> DataFrame:
-    """What each mix takes of each source: (mix_name, source, target_share, max_repeats, supply, texts, total, demand, slope).
+    """What each mix takes of each source: (mix_name, source, target_share, max_repeats, supply, texts, longest, total, demand, slope).
 
     Without ``total_tokens`` a mix is as large as the caps let all its sources reach their shares; a mix without caps
     is as large as its sources. With it, sources stop at their cap. Shares of sources that have no texts go to the others in proportion.
     Weights change over time by ``tilt``: sources of short texts come more at the beginning, those of long texts
     at the end, so that all weights sum to 1 at any time.
     """
-    have = supply.groupBy("source").agg(F.sum("tokens").alias("supply"), F.count(F.lit(1)).alias("texts"))
+    have = supply.groupBy("source").agg(F.sum("tokens").alias("supply"), F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("longest"))
     known = targets.join(have, "source", "left")
     usable = F.col("supply").isNotNull() & (F.col("target_share") > 0) & (F.coalesce("max_repeats", F.lit(1)) >= 1)
     mix = Window.partitionBy("mix_name")
@@ -124,6 +128,23 @@ def mix_texts(supply: DataFrame, plan: DataFrame) -> DataFrame:
     return uses.select("mix_name", "source", "doc", F.col("copy").cast("int").alias("copy"), "tokens", (t * F.col("total")).alias("position")).orderBy("mix_name", "position", "source", "doc", "copy")
 
 
+def mix_checks(plan: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(mix_name, source, target_share, capped, reached, repeated) for every target: what must hold of any mix.
+
+    capped: no text is used more often than allowed. reached: the source has the tokens that the plan asks of it, give or take
+    its longest text. repeated: a text is used again only after all texts of its source have been used as often.
+    """
+    per_doc = mixed.groupBy("mix_name", "source", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    got = per_doc.groupBy("mix_name", "source").agg(F.sum("t").alias("t"), F.max("n").alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("docs"))
+    rows = plan.join(got, ["mix_name", "source"], "left")
+    none = F.col("t").isNull()
+    return rows.select(
+        "mix_name", "source", "target_share", (none | F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True))).alias("capped"),
+        (F.abs(F.coalesce("t", F.lit(0)) - F.col("demand")) <= F.coalesce("longest", F.lit(0))).alias("reached"),
+        (none | (F.col("most") - F.when(F.col("docs") < F.col("texts"), F.lit(0)).otherwise(F.col("least")) <= 1)).alias("repeated"),
+    )
+
+
 def mix_shares(plan: DataFrame, mixed: DataFrame) -> DataFrame:
     """(mix_name, source, target_share, actual_share, tokens, texts, uses, most_uses) for every target."""
     got = mixed.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc").alias("texts"), F.count(F.lit(1)).alias("uses"), (F.max("copy") + 1).alias("most_uses"))

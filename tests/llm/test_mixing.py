@@ -90,3 +90,13 @@ def test_tokens_round_trip():
     e = X._encoder(X.TOKENIZER)
     for t in ("", "Hello world's 12 naïve 文字", "<|endoftext|>", "a" * 100_000):
         assert e.decode(e.encode_ordinary(t)) == t
+
+
+def test_checks_hold_and_tokens_are_counted_once(mixed):
+    df, supply, plan, *_ = mixed
+    mix = X.mix_texts(supply, plan)
+    assert all(r["capped"] and r["reached"] and r["repeated"] for r in X.mix_checks(plan, mix).collect())
+    twice = mix.union(mix)
+    assert not all(r["capped"] for r in X.mix_checks(plan, twice).collect()) and not all(r["reached"] for r in X.mix_checks(plan, twice).collect())
+    sized = X.count_tokens(df, "text").where("tokens > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert sized.count("ArrowEvalPython") == 1
