@@ -1,8 +1,9 @@
 """Markup residue: from Markdown, wiki, HTML and LaTeX, alone or mixed, to structure and clean text.
 
-A text is read into a tree of nodes that may be structural. Gradient-boosted trees judge each node by features of
+A text is read into a tree of nodes that may be structural: whatever looks like markup at first sight, prices between dollar
+signs, hash tags, years with a full stop and indented verse included. Gradient-boosted trees judge each node by features of
 the node, its subtree, attributes, depth and siblings; a hierarchical decoder then picks the most likely labels of
-the whole tree that don't contradict each other, such as a list item inside a code block.
+the whole tree that don't contradict each other, such as a list item inside a code block or two formulas that share a sign.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import functools
 import html
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ LISTS = {"itemize", "enumerate", "description"}
 _LINE = re.compile(
     r"[ \t]*(?:>[ ]?)*[ \t]*(?:"
     r"(?P<fence>`{3,}(?=[^`\n]*$)|~{3,})"
-    r"|(?P<hash>\#{1,6})[ \t]+(?=\S)"
-    r"|(?P<equals>={1,6})(?=[^=\n][^\n]*=[ \t]*$)"
+    r"|(?P<hash>\#{1,6})(?:[ \t]+(?=\S)|(?=[^\s\#]))"
+    r"|(?P<equals>={1,6})(?=[ \t]*[^=\s])"
     r"|(?P<rule>-{3,}|={3,})[ \t]*$"
     r"|(?P<stars>\*{2,6})[ \t]+(?=\S)"
     r"|(?P<bullet>[-+*])[ \t]+(?=\S)"
@@ -87,6 +89,13 @@ def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\b[^<>]*>?", re.I)
 
 
+def _is_block(text: str, m: re.Match | None, eol: int) -> bool:
+    """Whether a line begins a block of its own; tags and lines with a lone equals sign at the start may still belong to a paragraph."""
+    if m is None or m.lastgroup == "hash":
+        return m is not None and text[m.end() - 1] in " \t"
+    return m.lastgroup != "equals" or text[m.end() : eol].rstrip().endswith("=")
+
+
 def _find_close(text: str, tag: str, pos: int) -> tuple[int, int, bool]:
     m = _closing(tag).search(text, pos)
     return (m.start(), m.end(), True) if m else (len(text), len(text), False)
@@ -149,6 +158,8 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
             head = line.lstrip()
             if not head:
                 para, plain, items = -1, 0, []
+                if open_ and -2 not in open_:  # an entry outside any list ends with its paragraph
+                    _close_list(open_, nodes, pos)
                 pos = eol + 1
                 continue
             if head[0] in _STARTS and (m := _LINE.match(text, pos, eol)):
@@ -163,11 +174,14 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
                     pos, para, items = end + 1, -1, []
                     continue
                 if kind == "hash" or kind == "equals":
-                    cs = m.end()
-                    add(kind, pos, eol, cs, eol, level=len(m.group(kind)), indent=indent)
-                    items, para = [], -1
+                    block = _is_block(text, m, eol)
+                    add(kind, pos, eol, m.end(), eol, level=len(m.group(kind)), indent=indent, closed=block)
+                    if block:
+                        items, para = [], -1
+                    elif para < 0:
+                        para, plain = pos, 1
                 elif kind == "rule":
-                    if para >= 0 and plain:
+                    if para >= 0:
                         add("setext", para, eol, para, pos - 1, level=1 if head[0] == "=" else 2, indent=indent)
                     pos, para = eol + 1, -1
                     continue
@@ -182,13 +196,13 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
                         e = text.find("\n", nxt, stop)
                         e = stop if e < 0 else e
                         more = text[nxt:e]
-                        if len(more) - len(more.lstrip()) < indent + 2 or not more.strip() or _LINE.match(text, nxt, e):
+                        if len(more) - len(more.lstrip()) < indent + 2 or not more.strip() or _is_block(text, _LINE.match(text, nxt, e), e):
                             break
                         nodes[i].ce = nodes[i].end = e
                         nxt = e + 1
                     items.append(i)
                     para = -1
-            elif not lines_only and para < 0 and not items and not open_ and (line.startswith("    ") or line[0] == "\t") and head[0] not in "\\<|" and (pos == 0 or text[max(0, pos - 2) : pos] == "\n\n"):
+            elif not lines_only and para < 0 and not items and not open_ and (line.startswith("    ") or line[0] == "\t") and (pos == 0 or text[max(0, pos - 2) : pos] == "\n\n"):
                 end = eol
                 while True:
                     e = text.find("\n", end + 1, stop)
@@ -241,7 +255,7 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
                             close_entry(s)
                             nodes[open_.pop()].end = s
                         if not shut:
-                            open_.append(add("li", s, stop, e, -1, attrs=attrs))
+                            open_.append(add("li", s, stop, e, -1, attrs=attrs, level=open_.count(-2)))
                     elif not shut:
                         if tag == "pre":
                             ce, e, ok = _find_close(text, tag, e)
@@ -256,7 +270,7 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
                             ce, x, ok = (e, e, False) if tag in unclosed else _find_close(text, tag, e)
                             if not ok:
                                 unclosed.add(tag)
-                            elif not _BLANK.search(text, e, ce):
+                            elif tag in ("script", "style") or not _BLANK.search(text, e, ce):
                                 e = x
                 elif env := m.group("env"):
                     if m.group("be") == "begin":
@@ -276,7 +290,7 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
                     if open_ and open_[-1] >= 0:
                         close_entry(s)
                         nodes[open_.pop()].end = s
-                    open_.append(add("item", s, stop, e, -1))
+                    open_.append(add("item", s, stop, e, -1, level=open_.count(-2)))
                 elif m.group("sec"):
                     braces = _brace_ends(text) if braces is None else braces
                     x = braces.get(e, -1)
@@ -294,9 +308,11 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
                         if x > e and not _BLANK.search(text, e, x):
                             add("dollars", s, x + 2, e, x)
                             e = x + 2
-                    elif x > e and text[e] not in " \t\n" and text[x - 1] not in " \t\n\\" and not text[x + 1 : x + 2].isdigit() and not _BLANK.search(text, e, x):
+                    elif x > e and text[x - 1] != "\\" and not _BLANK.search(text, e, x):
                         add("dollar", s, x + 1, e, x)
-                        e = x + 1
+                        # where the signs can't enclose, the second may open what follows
+                        if text[e] not in " \t\n" and text[x - 1] not in " \t\n" and not text[x + 1 : x + 2].isdigit():
+                            e = x + 1
                 elif tick := m.group("tick"):
                     blank = text.find("\n\n", e, stop)
                     x = re.compile(rf"(?<!`){tick}(?!`)").search(text, e, blank if blank >= 0 else stop)
@@ -327,15 +343,41 @@ def _scan(text: str, pos: int, stop: int, top: int, nodes: list[Node], lines_onl
 
 # ---------------------------------------------------------------- features
 
-FEATURES = 26
+#: Buckets that attribute tokens are hashed into.
+ATTR_BUCKETS = 32
+FEATURES = 37 + ATTR_BUCKETS
 _ATTR = re.compile(r"[A-Za-z]+")
-_SYMBOLS = re.compile(r"[\\{}^_=()<>;|&]")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"\d+")
+#: Classes of characters that are counted in a node, by code point; those above are letters or digits if Unicode says so.
+_KINDS = ("letter", "digit", "symbol", "bracket", "line", "space")
+
+
+@functools.cache
+def _char_kinds() -> np.ndarray:
+    """For each code point a bit mask over ``_KINDS``."""
+    out = np.zeros(0x110000, np.uint8)
+    for i in range(0x30000):
+        c = chr(i)
+        out[i] = 1 if c.isalpha() else 2 if c.isdigit() else 4 if c in "\\{}^_=()<>;|&" else 0
+        if c == "[":
+            out[i] |= 8
+        if c == "\n":
+            out[i] |= 16
+        if c.isspace():
+            out[i] |= 32
+    return out
+
+
+def _prefix_counts(text: str) -> np.ndarray:
+    """Running counts of each kind of character and of words begun, so that any stretch is counted at once."""
+    kinds = _char_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    bits = ((kinds[None, :] >> np.arange(len(_KINDS), dtype=np.uint8)[:, None]) & 1).astype(np.int32)
+    space = bits[5].astype(bool)
+    begun = ~space & np.r_[True, space[:-1]]
+    return np.concatenate([np.zeros((len(_KINDS) + 1, 1), np.int64), np.cumsum(np.vstack([bits, begun]), axis=1)], axis=1)
 
 
 def features(text: str, nodes: list[Node]) -> np.ndarray:
-    """One row per node: form, attributes, depth, subtree density, neighbours in the text and among siblings."""
+    """One row per node: form, attributes, depth, density of the whole node, neighbours in the text and among siblings."""
     n = len(nodes)
     out = np.zeros((n, FEATURES))
     counts = [0] * len(FORMS)
@@ -343,46 +385,54 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
         counts[x.form] += 1
     families = [sum(counts[i] for i in g) for g in ((0, 1, 5, 10), (2, 6, 12, 20), (3, 8, 11), (4, 9, 13, 19))]
     whole = max(1, sum(families))
-    depth = [0] * n
-    kids = [0] * n
+    depth, kids, covered, in_code = [0] * n, [0] * n, [0] * n, [0] * n
     last_child: dict[int, int] = {}
     size = max(1, len(text))
+    cs = np.array([min(x.cs, len(text)) for x in nodes])
+    ce = np.maximum(cs, [min(x.ce, len(text)) for x in nodes])
+    run = _prefix_counts(text)
+    within = run[:, ce] - run[:, cs]
+    length = np.maximum(1, ce - cs)
     for i, x in enumerate(nodes):
         p = x.parent
         if p >= 0:
             depth[i] = depth[p] + 1
             kids[p] += 1
-        body = text[x.cs : x.ce] if x.ce - x.cs < 400 else text[x.cs : x.cs + 200] + text[x.ce - 200 : x.ce]
-        length = max(1, len(body))
-        letters = sum(map(len, _LETTERS.findall(body)))
-        tokens = body.split()
+            covered[p] += x.end - x.start
+            in_code[i] = in_code[p] or nodes[p].form in _CODES
         prev = last_child.get(p, -1)
         last_child[p] = i
-        lead = body.lstrip()[:1]
-        q = p
-        in_code = 0
-        while q >= 0:
-            if nodes[q].form in _CODES:
-                in_code = 1
-                break
-            q = nodes[q].parent
-        before = text[max(0, x.start - 2) : x.start]
-        after = text[x.end : x.end + 2]
+        before, after = text[max(0, x.start - 2) : x.start], text[x.end : x.end + 2]
+        first, last = text[x.cs : x.cs + 1], text[x.ce - 1 : x.ce] if x.ce > x.cs else ""
+        mark = text[x.start : x.cs].strip()
+        number = int(mark[:-1]) if x.form == 7 and mark[:-1].isdigit() else -1
         row = out[i]
-        row[0], row[1], row[2], row[3] = x.form, x.level, depth[i], in_code
+        row[0], row[1], row[2], row[3] = x.form, x.level, depth[i], in_code[i]
         row[4] = nodes[p].form if p >= 0 else -1
-        row[5], row[6], row[7] = np.log1p(x.ce - x.cs), body.count("\n"), len(tokens)
-        row[8], row[9], row[10] = letters / length, sum(map(len, _DIGITS.findall(body))) / length, len(_SYMBOLS.findall(body)) / length
-        row[11] = body.count("[") / length
         row[12], row[13] = before == "\n\n" or x.start == 0, after == "\n\n" or x.end >= size
         row[14] = prev >= 0 and nodes[prev].form == x.form and x.start - nodes[prev].end <= 2
         row[15] = prev >= 0 and x.start - nodes[prev].end
-        row[16], row[17], row[18] = x.closed, len(_ATTR.findall(x.attrs)), x.indent
-        row[19], row[20] = lead.isupper(), body.rstrip()[-1:] in ".!?:;,"
+        row[16], row[18] = x.closed, x.indent
+        lead = text[x.cs : x.cs + 40].lstrip()[:1]
+        tail = text[max(x.cs, x.ce - 40) : x.ce].rstrip()[-1:]
+        row[36] = lead != "" and lead in "<|"
+        row[19], row[20] = lead.isupper(), bool(tail) and tail in ".!?:;,"
         row[21], row[22] = families[0] / whole, families[1] / whole
         row[23], row[24] = families[2] / whole, families[3] / whole
-    for i, x in enumerate(nodes):
-        out[i, 25] = kids[i]
+        row[26] = x.cs - x.start - len(mark)  # blanks around the mark
+        row[27], row[28] = first.isspace(), last.isspace()
+        row[29], row[30] = after[:1].isdigit(), after[:1].isalnum()
+        row[31], row[32] = before[-1:].isalnum(), not before or before[-1] == "\n"
+        row[33] = number
+        row[34] = number == 1 or (row[14] > 0 and number >= 0 and number == out[prev, 33] + 1)
+        if x.attrs:
+            tokens = _ATTR.findall(x.attrs)
+            row[17] = len(tokens)
+            for t in tokens:
+                row[37 + zlib.crc32(t.lower().encode()) % ATTR_BUCKETS] += 1
+    out[:, 25], out[:, 35] = kids, np.array(covered) / length
+    out[:, 5], out[:, 6], out[:, 7] = np.log1p(ce - cs), within[4], within[6]
+    out[:, 8], out[:, 9], out[:, 10], out[:, 11] = within[0] / length, within[1] / length, within[2] / length, within[3] / length
     for i in range(n - 1):  # a sibling that follows at once
         if nodes[i + 1].form == nodes[i].form and nodes[i + 1].parent == nodes[i].parent and nodes[i + 1].start - nodes[i].end <= 2:
             out[i, 14] += 2
@@ -421,6 +471,20 @@ def decode(parents: list[int], log_p: np.ndarray) -> list[int]:
     return out
 
 
+def _apart(nodes: list[Node], labels: list[int], log_p: np.ndarray) -> list[int]:
+    """``labels`` without the less likely of two formulas that share a dollar sign."""
+    last = -1
+    for i, x in enumerate(nodes):
+        if labels[i] and FORMS[x.form] == "dollar":
+            if last >= 0 and x.start < nodes[last].end:
+                a, b = (log_p[j, labels[j]] - log_p[j, 0] for j in (last, i))
+                labels[last if b > a else i] = 0
+                last = i if b > a else last
+            else:
+                last = i
+    return labels
+
+
 # ---------------------------------------------------------------- content
 
 _MARKED = re.compile(r"[*_~=`'\[\]<>&\\{}!|]")
@@ -439,24 +503,34 @@ _BOX = re.compile(r"^\[[ xX]\]\s+")
 _ESCAPE = re.compile(r"\\([%&$#_{}!\"'()*+,\-./:;<=>?@\[\]^`|~])")
 
 
-def _drop(s: str) -> str:
-    """``s`` without comments, references and templates. A kind of end that is missing once is not searched for again."""
+def _drop(s: str, keep: bool = False) -> str:
+    """``s`` without comments, references and templates. A kind of end that is missing once is not searched for again.
+
+    With ``keep`` the words of notes, references and templates stay, in brackets; marks and keys that only refer elsewhere go.
+    """
     parts, last, pos, missing = [], 0, 0, set()
     while m := _DROP.search(s, pos):
         end, kind = m.end(), m.lastgroup
+        words = ""
         if kind:
             end = -1
             if kind not in missing:
                 if kind == "note":
                     x = s.find("-->", m.end())
                     end = x + 3 if x >= 0 else -1
-                else:
-                    end = x.end() if (x := _REF_END.search(s, m.end())) else -1
+                elif x := _REF_END.search(s, m.end()):
+                    end, words = x.end(), s[m.end() : x.start()]
             if end < 0:
                 missing.add(kind)
                 pos = m.start() + 1
                 continue
+        elif keep and m.group()[0] == "{":  # a template: its name and the values of its parameters
+            words = ", ".join(x for x in (p.rsplit("=", 1)[-1].strip() for p in m.group()[2:-2].split("|")) if x)
+        elif keep and m.group().startswith("\\footnote"):
+            words = m.group()[m.group().index("{") + 1 : -1]
         parts.append(s[last : m.start()])
+        if keep and words.strip():
+            parts.append(f" ({words.strip()})")
         last = pos = end
     return "".join(parts) + s[last:]
 
@@ -512,10 +586,10 @@ def _code_spans(s: str) -> list[tuple[int, int, int, int]]:
     return spans
 
 
-def _plain(s: str, tex: bool) -> str:
+def _plain(s: str, tex: bool, keep: bool) -> str:
     s = _BREAK.sub(" ", s)
     if "{" in s or "[" in s or "<" in s:
-        s = _drop(s)
+        s = _drop(s, keep)
         s = _LINKS.sub(lambda m: next((x for x in (m.group(2), m.group(3), m.group(4), m.group(1)) if x), ""), s)
     if "\\" in s:
         while (t := _COMMAND.sub(lambda m: m.group(1) or m.group(2) or "", s)) != s:
@@ -533,17 +607,20 @@ def _plain(s: str, tex: bool) -> str:
     return _ESCAPE.sub(r"\1", s) if "\\" in s else s
 
 
-def inline_text(s: str, tex: bool = False) -> str:
-    """Plain text of a heading, list entry or paragraph: no inline marks, references decoded, blanks joined."""
+def inline_text(s: str, tex: bool = False, keep: bool = False) -> str:
+    """Plain text of a heading, list entry or paragraph: no inline marks, references decoded, blanks joined.
+
+    With ``keep`` the words of footnotes, references and templates stay.
+    """
     if _MARKED.search(s) or (tex and "~" in s):
         if "`" in s:
             parts, last = [], 0
             for start, end, a, b in _code_spans(s):
-                parts += [_plain(s[last:start], tex), s[a:b]]
+                parts += [_plain(s[last:start], tex, keep), s[a:b]]
                 last = end
-            s = "".join(parts) + _plain(s[last:], tex)
+            s = "".join(parts) + _plain(s[last:], tex, keep)
         else:
-            s = _plain(s, tex)
+            s = _plain(s, tex, keep)
         if "&" in s:
             s = html.unescape(s)
     return " ".join(s.split())
@@ -554,16 +631,16 @@ def content(text: str, node: Node, label: int) -> str:
     return _shown(text[node.cs : node.ce], node, label)
 
 
-def _shown(s: str, node: Node, label: int) -> str:
+def _shown(s: str, node: Node, label: int, keep: bool = False) -> str:
     form = FORMS[node.form]
     if label == 1:
         if form == "hash":
             s = re.sub(r"\s+#+\s*$", "", s)
         elif form == "equals":
             s = re.sub(r"=+\s*$", "", s) if not node.level else re.sub(rf"={{1,{node.level}}}\s*$", "", s)
-        return inline_text(s, form == "section")
+        return inline_text(s, form == "section", keep)
     if label == 2:
-        return inline_text(_BOX.sub("", s.lstrip()), form == "item")
+        return inline_text(_BOX.sub("", s.lstrip()), form == "item", keep)
     if label == 3:
         if form == "pre":
             s = html.unescape(re.sub(r"</?code\b[^<>]*>", "", s, flags=re.I))
@@ -575,8 +652,12 @@ def _shown(s: str, node: Node, label: int) -> str:
 # ---------------------------------------------------------------- model
 
 
+#: Labelled notes that the trees are fitted on.
+NOTES = 1000
+
+
 @functools.cache
-def model(notes: int = 400, seed: int = 7) -> BoostedTrees:
+def model(notes: int = NOTES, seed: int = 7) -> BoostedTrees:
     """Trees fitted on a bounded sample: ``notes`` labelled notes that :mod:`markup_training` writes from ``seed``."""
     from lattica.llm.markup_training import labelled_notes
 
@@ -586,7 +667,7 @@ def model(notes: int = 400, seed: int = 7) -> BoostedTrees:
         if nodes:
             xs.append(features(text, nodes))
             ys += [truth.get(x.start, 0) for x in nodes]
-    return BoostedTrees(len(LABELS)).fit(np.vstack(xs), np.array(ys))
+    return BoostedTrees(len(LABELS), rounds=20, depth=5).fit(np.vstack(xs), np.array(ys))
 
 
 def label_notes(texts: list[str], trees: BoostedTrees) -> list[list[tuple[Node, int]]]:
@@ -596,7 +677,7 @@ def label_notes(texts: list[str], trees: BoostedTrees) -> list[list[tuple[Node,
     log_p = trees.log_proba(np.vstack(rows)) if rows else None
     out, at = [], 0
     for ns in parsed:
-        labels = decode([x.parent for x in ns], log_p[at : at + len(ns)]) if ns else []
+        labels = _apart(ns, decode([x.parent for x in ns], log_p[at : at + len(ns)]), log_p[at : at + len(ns)]) if ns else []
         at += len(ns)
         out.append(list(zip(ns, labels)))
     return out
@@ -612,13 +693,45 @@ def _elements(text: str, labelled: list[tuple[Node, int]]) -> list[tuple[str, st
     return sorted(f for f in found if f[1])
 
 
-_HEADER = re.compile(r"\\documentclass[^\n]*\n|\\usepackage[^\n]*\n|\\(?:begin|end)\{[A-Za-z]+\*?\}[ \t]*\n?|\{\|.*?\n\|\}|^[|!][-+].*$|</?(?:ul|ol|p|div|table|tr|td|th|section|article)\b[^<>]*>|^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", re.M | re.S | re.I)
+_HEADER = re.compile(r"\\documentclass[^\n]*\n|\\usepackage[^\n]*\n|\\(?:begin|end)\{[A-Za-z]+\*?\}[ \t]*\n?|</?(?:ul|ol|p|div|table|tr|section|article)\b[^<>]*>|^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", re.M | re.S | re.I)
+#: Source that is no text of the note.
+_SOURCE = re.compile(r"<(?P<tag>script|style)\b[^<>]*>.*?</(?P=tag)\s*>", re.S | re.I)
+_WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(.*?)^[ \t]*\|\}", re.M | re.S)
+_CELLS = re.compile(r"^[ \t]*(\|-|\|\+|[|!])(.*)$", re.M)
+_CELL_ATTRS = re.compile(r"^[^|\[\]{}]*=[^|\[\]{}]*\|(?!\|)")
+_TABLE_ROW = re.compile(r"^[ \t]*\|(.*)\|[ \t]*$", re.M)
+_TABLE_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|[ \t]*$", re.M)
+_BAR = re.compile(r"\|(?![^\[\]]*\]\])")
+_HTML_CELL = re.compile(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", re.I)
+
+
+def _wiki_rows(m: re.Match) -> str:
+    """The cells of a wiki table, one row in a line."""
+    rows: list[list[str]] = [[]]
+    for mark, rest in _CELLS.findall(m.group(1)):
+        if mark == "|-":
+            rows.append([])
+        elif mark == "|+":
+            rows += [[rest], []]
+        else:
+            rows[-1] += [_CELL_ATTRS.sub("", cell) for cell in re.split(r"\|\||!!" if mark == "!" else r"\|\|", rest)]
+    return "\n\n" + "\n\n".join(" ¦ ".join(c.strip() for c in r) for r in rows if any(c.strip() for c in r)) + "\n\n"
+
+
+def _tables(s: str) -> str:
+    """``s`` with the rows of its tables as paragraphs, cells told apart by bars, rules between rows left out."""
+    if "|" in s:
+        s = _WIKI_TABLE.sub(_wiki_rows, s)
+        s = _TABLE_RULE.sub("", s)
+        s = _TABLE_ROW.sub(lambda m: "\n" + " ¦ ".join(c.strip() for c in _BAR.split(m.group(1))) + "\n", s)
+    return _HTML_CELL.sub(" ¦ ", s)
 
 
 def clean_text(text: str, labelled: list[tuple[Node, int]]) -> str:
     """The text without markup: headings as '#' lines, entries as '-' lines, code in fences, formulas between '$'.
 
-    Formulas inside an entry or heading stay in its line; code and other elements there follow as blocks of their own, and
+    Words of tables (a row in a line, cells between bars), templates, footnotes and references stay; comments and the source of scripts
+    and styles go. Formulas inside an entry or heading stay in its line; code and other elements there follow as blocks of their own, and
     what comes after them as a new line.
     """
     out, pos = [], 0
@@ -628,9 +741,9 @@ def clean_text(text: str, labelled: list[tuple[Node, int]]) -> str:
     sign = next(c for c in map(chr, itertools.chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE))) if c not in text) if marked else ""
 
     def prose(a: int, b: int) -> None:
-        for part in _BLANK.split(_HEADER.sub("\n\n", text[a:b])):
-            if line := inline_text(part):
-                out.append(line + "\n")
+        for part in _BLANK.split(_HEADER.sub("\n\n", _tables(_SOURCE.sub(" ", text[a:b])))):
+            if line := inline_text(part, keep=True):
+                out.append(line.replace(" ¦ ", " | ") + "\n")
 
     def emit(i: int, into: list[str]) -> int:
         """Shows element ``i`` and those inside; the index after them."""
@@ -655,7 +768,7 @@ def clean_text(text: str, labelled: list[tuple[Node, int]]) -> str:
             parts += [text[at : min(y.start, x.ce)], f"{sign}{len(inner)}{sign}"]
             inner.append((label, shown))
             at = max(at, stop(y, label))
-        pieces = re.split(f"{sign}(\\d+){sign}", _shown("".join(parts) + text[at : x.ce], x, k))
+        pieces = re.split(f"{sign}(\\d+){sign}", _shown("".join(parts) + text[at : x.ce], x, k, keep=True))
         for j in sorted({*range(len(inner))} - {*map(int, pieces[1::2])}):  # inside a note or link that is left out
             pieces += [str(j), ""]
         level = x.level if FORMS[x.form] in ("hash", "equals", "htag", "setext") else max(1, x.level)
@@ -684,7 +797,7 @@ def clean_text(text: str, labelled: list[tuple[Node, int]]) -> str:
     return "\n".join(out)
 
 
-def structure(rows: DataFrame, key: str, text: str, notes: int = 400, with_text: bool = False) -> DataFrame:
+def structure(rows: DataFrame, key: str, text: str, notes: int = NOTES, with_text: bool = False) -> DataFrame:
     """(key, elements[, clean]) of each row with a non-null text; elements is an array of (kind, content).
 
     The trees are fitted once on the driver, on ``notes`` labelled notes, and sent to the workers; texts go to Python whole, in

@@ -50,6 +50,11 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.structure(_table(spark, d, "parsed_notes", "note_id", "body"), "note_id", "body", with_text=True).select("note_id", "clean").distinct()
 
 
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Headings and code blocks of every note."""
+    return p3_found(spark, d).where("kind in ('heading', 'code')")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of paths of which one is among the 5 nearest usable paths of the other."""
     near = knn.nearest_vectors(_table(spark, d, "vec_embeddings", "path", "embedding"), "path", "embedding", k=5, dim=64)
@@ -129,7 +134,23 @@ def _one_form(text: str) -> str:
     return f"regexp_extract_all(replace(nfc_normalize({bare}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_total": p9_total, "p9_checks": p9_checks, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
+_CODE_RE = r"(?:^(?:````[^\n]*\n.*?^````|```[^\n]*\n.*?^```|~~~[^\n]*\n.*?^~~~)[ \t]*$|<pre\b[^>]*>.*?</pre>|<syntaxhighlight\b[^>]*>.*?</syntaxhighlight>|\\begin\{(?:verbatim|lstlisting)\}.*?\\end\{(?:verbatim|lstlisting)\})"
+_TEX_MARK = r"\\(?:textbf|textit|texttt|emph|underline)\{([^{}]*)\}"
+
+
+def _replaced(x: str, *pairs: tuple[str, str]) -> str:
+    for pattern, by in pairs:
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return x
+
+
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&#x27;|&apos;", "''"), ("&eacute;", "é"), ("&mdash;", "—"), ("&ndash;", "–"), ("&nbsp;", " "), ("&uuml;", "ü"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&amp;", "&"))
+_HEADING_SQL = _replaced(
+    "h", (r"(?s)<!--.*?-->", ""), (r"!?\[\[[^\[\]|]*\|([^\[\]]*)\]\]", r"\1"), (r"!?\[\[([^\[\]|]*)\]\]", r"\1"), (r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), (_TEX_MARK, r"\1"), (r"'{2,5}", ""), (r"</?[A-Za-z][^<>]*>", ""),
+    (r"\*\*|~~|==|`", ""), (r"(^|[^\pL\pN*])\*([^*]+)\*", r"\1\2"), (r"(^|[^\pL\pN_])__?([^_]+)__?", r"\1\2"), *_ENTITIES, (r"\s+", " "),
+)
+
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_blocks": p3_blocks, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_total": p9_total, "p9_checks": p9_checks, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
     "p5_found": """
@@ -152,6 +173,15 @@ WITH d AS (SELECT doc_id, {_one_form('text')} w FROM documents WHERE text IS NOT
      dg AS (SELECT doc_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) j FROM d)),
      ig AS (SELECT item_id, array_to_string(w[j : j + 19], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) j FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g""",
+    "p3_blocks": rf"""
+WITH b AS (SELECT DISTINCT note_id, body FROM parsed_notes WHERE body IS NOT NULL),
+     c AS (SELECT note_id, unnest(regexp_extract_all(body, '(?ms){_CODE_RE}')) x FROM b),
+     d AS (SELECT note_id, CASE WHEN starts_with(x, '<pre') THEN {_replaced("regexp_replace(x, '</?(pre|code)[^>]*>', '', 'g')", *_ENTITIES)} WHEN starts_with(x, '<syn') THEN regexp_replace(x, '</?syntaxhighlight[^>]*>', '', 'g')
+                  WHEN starts_with(x, '\') THEN regexp_replace(x, '^\\begin.[a-z]+.|\\end.[a-z]+.$', '', 'g') ELSE regexp_replace(x, '^[`~]+[^\n]*|[`~]+[ \t]*$', '', 'g') END x FROM c),
+     p AS (SELECT note_id, regexp_replace(body, '(?ms){_CODE_RE}', '', 'g') t FROM b),
+     h AS (SELECT note_id, unnest(list_concat(regexp_extract_all(t, '(?m)^#{{1,6}}[ \t]+(.+?)[ \t]*(?: #+)?[ \t]*$', 1), regexp_extract_all(t, '(?m)(?:^|\n)[ \t]*\n([^\n<|{{\\#=*+-][^\n]*|[*_][^\n]*)\n[-=]{{3,}}[ \t]*$', 1), regexp_extract_all(t, '(?m)^={{2,6}}([^=\n].*?)={{2,6}}[ \t]*$', 1),
+                  regexp_extract_all(t, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>', 1), regexp_extract_all(t, '\\(?:(?:sub)*section|chapter|paragraph)\*?\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}', 1))) h FROM p)
+SELECT DISTINCT note_id, kind, content FROM (SELECT note_id, 'code' kind, trim(regexp_replace(x, '\s+', ' ', 'g')) content FROM d UNION ALL SELECT note_id, 'heading', trim({_HEADING_SQL}) FROM h) WHERE content <> ''""",
     "p9_checks": """
 WITH o AS (SELECT mix_name, regexp_replace(lower(trim(source)), '[\\s_]+', '-', 'g') source, sum(greatest(coalesce(s, 0), 0)) s FROM (SELECT DISTINCT mix_name, source, target_share s, max_repeats FROM mix_targets) WHERE mix_name IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
 SELECT mix_name, source, round(s / CASE WHEN sum(s) OVER (PARTITION BY mix_name) > 1.5 THEN 100.0 ELSE 1.0 END, 6) target_share, true capped, true reached, true repeated FROM o""",
