@@ -144,7 +144,7 @@ def _replaced(x: str, *pairs: tuple[str, str]) -> str:
     return x
 
 
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&#x27;|&apos;", "''"), ("&eacute;", "é"), ("&mdash;", "—"), ("&ndash;", "–"), ("&nbsp;", " "), ("&uuml;", "ü"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&amp;", "&"))
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&#x27;|&apos;", "''"), ("&eacute;", "é"), ("&mdash;", "—"), ("&ndash;|&#8211;", "–"), ("&nbsp;", " "), ("&uuml;", "ü"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&amp;", "&"))
 _HEADING_SQL = _replaced(
     "h", (r"(?s)<!--.*?-->", ""), (r"!?\[\[[^\[\]|]*\|([^\[\]]*)\]\]", r"\1"), (r"!?\[\[([^\[\]|]*)\]\]", r"\1"), (r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), (_TEX_MARK, r"\1"), (r"'{2,5}", ""), (r"</?[A-Za-z][^<>]*>", ""),
     (r"\*\*|~~|==|`", ""), (r"(^|[^\pL\pN*])\*([^*]+)\*", r"\1\2"), (r"(^|[^\pL\pN_])__?([^_]+)__?", r"\1\2"), *_ENTITIES, (r"\s+", " "),

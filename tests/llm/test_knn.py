@@ -20,8 +20,9 @@ def _frame(spark, rows):
     return spark.createDataFrame(rows, "path string, embedding array<float>, vid int, v string")
 
 
-@pytest.mark.parametrize("block", [4096, 37])
-def test_neighbours_match_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "pivot"), [(4096, 800), (37, 800), (4096, 15), (20, 40)])
+def test_neighbours_match_brute_force(spark, monkeypatch, block, pivot):
+    monkeypatch.setattr(N, "PIVOT_ROWS", pivot)
     r = np.random.default_rng(4)
     x = r.normal(size=(300, 8)).astype(np.float32)
     x[50:60] = x[50]  # copies: more than k
@@ -57,3 +58,24 @@ def test_a_third_of_all_rows_are_copies(spark):
     assert got.count() == 1800
     copies = got.where(F.col("path") < "p300").select("neighbour").distinct().collect()
     assert {c[0] for c in copies} == {"p000", "p001", "p002"}
+
+
+def test_few_blocks_are_visited_and_none_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(N, "PIVOT_ROWS", 25)
+    r = np.random.default_rng(7)
+    middles = r.normal(size=(20, 16))
+    x = (middles[r.integers(0, 20, 600)] + 0.05 * r.normal(size=(600, 16))).astype(np.float32)
+    x[::97] += r.normal(size=(7, 16)).astype(np.float32)  # far from all
+    groups = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vid long, v array<float>")
+
+
+    got = {(q["vid"], q["other"]) for q in N.nearest_groups(groups, 4, 16, visitors=50).collect()}
+    d = ((x.astype(np.float64)[:, None] - x.astype(np.float64)[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, int(j)) for i in range(600) for j in np.argsort(d[i], kind="stable")[:4]}
+
+
+def test_products_of_codes_are_exact():
+    r = np.random.default_rng(3)
+    codes, fine, scale, err, fine_err = N.quantise(r.normal(size=(200, 64)))
+    assert codes.dtype == np.int8 and np.array_equal(codes.astype(np.float32) @ codes.astype(np.float32).T, (codes.astype(np.int64) @ codes.astype(np.int64).T).astype(np.float32))
