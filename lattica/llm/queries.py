@@ -74,6 +74,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("path_a"), F.col("key_b").alias("path_b")).distinct()
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each note with at least 3 tags: its class of equal tag sets, and to how many other sets that one is similar."""
+    return setjoin.record_links(_current_tags(spark, d), "path", "tags", threshold=0.7, min_size=3)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Each document with each evaluation item of which it holds 20 consecutive words."""
     return leaks.find_leaks(_table(spark, d, "documents", "doc_id", "text"), _table(spark, d, "eval_items", "item_id", "text"))
@@ -150,7 +155,7 @@ _HEADING_SQL = _replaced(
     (r"\*\*|~~|==|`", ""), (r"(^|[^\pL\pN*])\*([^*]+)\*", r"\1\2"), (r"(^|[^\pL\pN_])__?([^_]+)__?", r"\1\2"), *_ENTITIES, (r"\s+", " "),
 )
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_blocks": p3_blocks, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_total": p9_total, "p9_checks": p9_checks, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_blocks": p3_blocks, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_total": p9_total, "p9_checks": p9_checks, "p5_found": p5_found, "p7_found": p7_found, "p7_links": p7_links, "p8_found": p8_found, "p10_found": p10_found, "p10_unified": p10_unified}
 
 SQL = {
     "p5_found": """
@@ -198,3 +203,8 @@ WITH cur AS (SELECT path, tags FROM nodes WHERE path IS NOT NULL AND run_id IN (
 SELECT x.path path_a, y.path path_b FROM b x JOIN b y ON x.k = y.k AND x.path < y.path
 GROUP BY x.path, y.path, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*))""",
 }
+_TAG_SETS = SQL["p7_found"].split("SELECT x.path path_a")[0]
+SQL["p7_links"] = _TAG_SETS + """, c AS (SELECT path, string_agg(k, '|' ORDER BY k) g FROM b GROUP BY path), g AS (SELECT g, min(path) class_key, count(*) copies FROM c GROUP BY g),
+     m AS (SELECT class_key, k, n FROM g JOIN b ON b.path = class_key),
+     l AS (SELECT x.class_key a, y.class_key o FROM m x JOIN m y ON x.k = y.k AND x.class_key <> y.class_key GROUP BY 1, 2, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*)))
+SELECT c.path, g.class_key, copies, (SELECT count(*) FROM l WHERE l.a = g.class_key) links FROM c JOIN g ON c.g = g.g"""

@@ -20,7 +20,7 @@ from lattica.session import materialize
 MAX_SHARED = 3
 #: A longer prefix is considered for a band while its keys are at most this many times the shortest prefix's.
 KEY_GROWTH = 6
-#: Items that fill more than 1/FREQUENT of all positions get their exact count (so at most FREQUENT items do).
+#: Items that fill more than 1/FREQUENT of all positions count as frequent (so at most FREQUENT items do).
 FREQUENT = 10_000
 
 
@@ -66,12 +66,19 @@ def set_classes(records: DataFrame, key: str, items: str, min_size: int = 1) ->
 
 
 def _ordered(sets: DataFrame) -> DataFrame:
-    """(set_id, size, tokens): items as hashes in the global order, rare ones first."""
+    """(set_id, size, tokens): items as hashes in the global order by exact frequency, rare ones first.
+
+    Counts of frequent items, of which there are at most ``FREQUENT``, are broadcast; those of the rest are joined by item, where
+    no key is hot.
+    """
     long = sets.select("set_id", F.size("items").alias("size"), F.explode("items").alias("item"))
-    counts = long.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(long.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "counts")
     total = sets.agg(F.sum(F.size("items"))).first()[0] or 0
-    frequent = counts.where(F.col("n") > max(1, total // FREQUENT))
-    ranked = long.join(F.broadcast(frequent), "item", "left").select("set_id", "size", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("item").alias("h")).alias("t"))
+    often = F.col("n") > max(1, total // FREQUENT)
+    seen = long.join(F.broadcast(counts.where(often)), "item", "left")
+    rest = seen.where("n is null").drop("n").join(counts.where(~often), "item")
+    every = seen.where("n is not null").unionByName(rest)
+    ranked = every.select("set_id", "size", F.struct("n", F.xxhash64("item").alias("h")).alias("t"))
     return ranked.groupBy("set_id", "size").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["h"]).alias("tokens"))
 
 
@@ -113,13 +120,14 @@ def similar_sets(sets: DataFrame, threshold: float, max_shared: int = MAX_SHARED
         rows = placed.where(F.col("band").isin(chosen)) if chosen else placed.where("false")
         return rows.select("set_id", "size", "band", "small", F.explode(_combinations(prefix, n)).alias("key"))
 
+    # what each choice would cost, all in one pass
     costs: dict[int, dict[int, float]] = {}
-    for n in range(1, max_shared + 1):
-        chosen = [b for b, ns in allowed.items() if n in ns and len(ns) > 1]
-        if chosen:
-            per_key = keyed(n, chosen).groupBy("band", "key").agg(F.sum(F.col("small").cast("long")).alias("s"), F.count(F.lit(1)).alias("a"))
-            for r in per_key.groupBy("band").agg(F.sum("a").alias("keys"), F.sum((F.col("s") * F.col("a")).cast("double")).alias("pairs")).collect():
-                costs.setdefault(r["band"], {})[n] = r["keys"] + r["pairs"]
+    open_ = {n: [b for b, ns in allowed.items() if n in ns and len(ns) > 1] for n in range(1, max_shared + 1)}
+    if any(open_.values()):
+        tried = reduce(DataFrame.unionByName, [keyed(n, bands_).withColumn("n", F.lit(n)) for n, bands_ in open_.items() if bands_])
+        per_key = tried.groupBy("n", "band", "key").agg(F.sum(F.col("small").cast("long")).alias("s"), F.count(F.lit(1)).alias("a"))
+        for r in per_key.groupBy("n", "band").agg(F.sum("a").alias("keys"), F.sum((F.col("s") * F.col("a")).cast("double")).alias("pairs")).collect():
+            costs.setdefault(r["band"], {})[r["n"]] = r["keys"] + r["pairs"]
     choice = {b: min(costs[b], key=lambda n: (costs[b][n], n)) if b in costs else ns[0] for b, ns in allowed.items()}
 
     keys = reduce(DataFrame.unionByName, [keyed(n, [b for b, c in choice.items() if c == n]) for n in sorted(set(choice.values()))])
@@ -148,3 +156,17 @@ def similar_records(records: DataFrame, key: str, items: str, threshold: float,
     across = pairs.join(a, "set_a").join(b, "set_b").select("_a", "_b")
     within = a.join(b, F.col("set_a") == F.col("set_b")).where("_a < _b").select("_a", "_b")
     return across.unionByName(within).select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b"))
+
+
+def record_links(records: DataFrame, key: str, items: str, threshold: float, min_size: int = 1) -> DataFrame:
+    """(key, class_key, copies, links): one row for each record with a large enough set.
+
+    class_key is the lowest key with the same set, copies the number of such records, links that of distinct other sets that are
+    similar. Copies are not paired, so the result grows with the records and not with the square of a class.
+    """
+    sets, members = set_classes(records, key, items, min_size)
+    members = materialize(members, "members")
+    pairs = similar_sets(sets, threshold)
+    links = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
+    about = members.groupBy("set_id").agg(F.min(key).alias("class_key"), F.count(F.lit(1)).alias("copies")).join(links, "set_id", "left")
+    return members.join(about, "set_id").select(key, "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))

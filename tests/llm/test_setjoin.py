@@ -44,3 +44,11 @@ def test_hot_item_shared_by_all(spark):
 def test_normalized_items(spark):
     df = spark.createDataFrame([([" #Wiki", "wiki", None, "", "##", "a b "],), (None,)], "t array<string>").select(J.normalize_set(F.col("t")))
     assert [r[0] for r in df.collect()] == [["a b", "wiki"], None]
+
+
+def test_links_of_classes(spark):
+    rows = [("a", ["x", "y", "z"]), ("b", ["z", "y", "x"]), ("c", ["x", "y", "z", "w"]), ("d", ["q", "r", "s"]), ("e", None), ("f", ["x"]), (None, ["x", "y", "z"]), ("a", ["x", "y", "z"])]
+    df = spark.createDataFrame([(k, v, 1) for k, v in rows], "key string, items array<string>, links int")
+    got = sorted(map(tuple, J.record_links(df, "key", "items", 0.7, 3).collect()))
+    assert got == [("a", "a", 2, 1), ("b", "a", 2, 1), ("c", "c", 1, 1), ("d", "d", 1, 0)]
+    assert J.record_links(df.limit(0), "key", "items", 0.7).count() == 0
