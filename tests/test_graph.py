@@ -151,6 +151,24 @@ def test_betweenness_refuses_no_size_and_collects_no_link(spark, monkeypatch):
     assert "bridges_betweenness_exact" in entry.queries()
 
 
+def test_betweenness_by_arrays_is_that_by_joins(spark, monkeypatch):
+    r = random.Random(6)
+    pairs = {(f"n{r.randrange(1, 22):02d}", f"n{r.randrange(1, 22):02d}") for _ in range(30)} | {("n00", f"n{i:02d}") for i in range(1, 16)} | {("x1", "x2"), ("x2", "x3")}
+    edges = spark.createDataFrame([(a, b, "wikilink", 1.0) for a, b in sorted(pairs)], "src string, dst string, type string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p} | {"alone"})], "path string")
+    score = lambda **more: {x["path"]: round(x["betweenness"], 9) for x in centrality.betweenness(nodes, edges, **more).collect()}
+    want = {k: score(sources=k, array_links=0, batch_rows=200) for k in (None, 7)}
+
+    def refuse(*_):
+        raise AssertionError("joined level by level")
+
+    monkeypatch.setattr(centrality, "_credits", refuse)
+    for limits in ((2_000_000, 8_000_000), (20, 50)):  # batches are made smaller
+        monkeypatch.setattr(centrality, "STEP_LINKS", limits[0])
+        monkeypatch.setattr(centrality, "CELLS", limits[1])
+        assert {k: score(sources=k) for k in (None, 7)} == want
+
+
 def test_louvain_finds_cliques_and_is_stable(spark):
     rows = [(f"{c}{i}", f"{c}{j}", "wikilink", 1.0) for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", "wikilink", 1.0)]
     edges = spark.createDataFrame(rows, "src string, dst string, type string, weight double")
