@@ -27,6 +27,28 @@ def test_edges_of_the_demo_vault(vault):
     assert [r["title"] for r in insights.broken_links(notes, broken).collect()] == ["Broken Links Note", "Broken Links Note", "Meridian Partners"]
 
 
+def test_tag_edges_match_brute_force_without_all_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    often, rare = ["wiki", "daily", "concept", ""], [f"t{i}" for i in range(12)]
+    tags = {f"p{i:02d}": r.sample(often, r.randrange(4)) + r.sample(rare, r.choice([0, 0, 1, 3])) + [None] * (i % 2) for i in range(70)}
+    notes = spark.createDataFrame([(p, "Home" if p == "p07" else p, t) for p, t in tags.items()], "path string, title string, tags array<string>")
+    sets = {p: {x for x in t if x is not None} for p, t in tags.items() if p != "p07"}
+    weight = {(a, b): len(x & y) / (len(x) + len(y) - len(x & y)) * 0.5 for a, x in sets.items() for b, y in sets.items() if a != b and x & y}
+    weight = {k: w for k, w in weight.items() if w >= 0.15 * 0.5}
+
+    def refuse(*_):
+        raise AssertionError("all pairs formed")
+
+    monkeypatch.setattr(graph, "top_pairs", refuse)
+    for top in (3, 20):
+        kept = {(a, b) for a in sets for _, b in sorted((-round(w, 9), y) for (x, y), w in weight.items() if x == a)[:top]}
+        for most in (62, 2, 0):  # tags that may count as frequent
+            monkeypatch.setattr(graph, "FREQUENT_TAGS", most)
+            got = {(e["src"], e["dst"]): e["weight"] for e in graph.tag_edges(notes, top=top).collect()}
+            assert got == {k: weight[k] for k in kept | {(b, a) for a, b in kept}}
+    assert graph.tag_edges(notes.limit(0)).count() == 0
+
+
 def test_hubs_of_the_demo_vault(vault):
     notes, edges, _ = vault
     got = {r["title"]: (r["degree"], r["centrality"]) for r in centrality.hubs(notes, edges, 6).collect()}
