@@ -49,6 +49,23 @@ def test_tag_edges_match_brute_force_without_all_pairs(spark, monkeypatch):
     assert graph.tag_edges(notes.limit(0)).count() == 0
 
 
+def test_build_graph_compares_all_sources_without_all_pairs(spark, monkeypatch):
+    rows = [("a/x.md", "X", ["t", "u"], ["Y", "X"], []), ("a/y.md", "Y", ["t", "u"], [], ["X", "Z"]), ("b/z.md", "Z", ["t"], ["Nobody"], []), ("b/w.md", "W", ["t", "u"], [], [])]
+    notes = spark.createDataFrame([(p, t, g, [], w, [], r) for p, t, g, w, r in rows], "path string, title string, tags array<string>, aliases array<string>, wikilinks array<string>, embeds array<string>, related_to array<string>")
+    semantic = spark.createDataFrame([("a/x.md", "b/w.md", "semantic_similarity", 0.5), ("b/w.md", "a/x.md", "semantic_similarity", 0.75), ("gone.md", "a/x.md", "semantic_similarity", 0.6)], "src string, dst string, type string, weight double")
+
+    def refuse(*_):
+        raise AssertionError("all pairs formed")
+
+    monkeypatch.setattr(graph, "top_pairs", refuse)
+    edges, broken = graph.build_graph(notes, semantic=semantic, folders=True)
+    both = lambda a, b, *e: {(a, b): e, (b, a): e}
+    want = {**both("a/x.md", "a/y.md", "related_to", 2.0), **both("a/y.md", "b/z.md", "related_to", 2.0), ("a/x.md", "a/x.md"): ("wikilink", 1.0), **both("a/x.md", "b/z.md", "tag_overlap", 0.25), **both("a/y.md", "b/w.md", "tag_overlap", 0.5)}
+    want |= {("a/x.md", "b/w.md"): ("tag_overlap", 0.5), ("b/w.md", "a/x.md"): ("semantic_similarity", 0.75), ("gone.md", "a/x.md"): ("semantic_similarity", 0.6), **both("b/w.md", "b/z.md", "folder_proximity", 0.3)}
+    assert {(e["src"], e["dst"]): (e["type"], e["weight"]) for e in edges.collect()} == want
+    assert [tuple(x) for x in broken.collect()] == [("b/z.md", "Nobody")]
+
+
 def test_hubs_of_the_demo_vault(vault):
     notes, edges, _ = vault
     got = {r["title"]: (r["degree"], r["centrality"]) for r in centrality.hubs(notes, edges, 6).collect()}
