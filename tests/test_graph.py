@@ -253,6 +253,41 @@ def test_reading_sets_search_and_suggestions(vault):
     assert all(r["days_stale"] == 31 and r["connected_recent"] for r in stale) and "orphan_note.md" not in {r["path"] for r in stale}
 
 
+def test_global_suggestions_match_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    p = [f"{r.choice('abc')}/n{i:02d}.md" for i in range(60)]
+    tags = {x: {"wiki"} | set(r.sample("rstuv", r.choice([0, 0, 1, 3]))) for x in p}
+    kind = {x: r.choice(["note", "idea", "log", None]) for x in p}
+    pairs = {(r.choice(p), r.choice(p)) for _ in range(150)} | {(x, p[0]) for x in p[::2]}
+    nodes = spark.createDataFrame([(x, x, kind[x], sorted(tags[x])) for x in p], "path string, title string, type string, tags array<string>")
+    near = {x: {b for a, b in pairs if a == x and b != x} | {a for a, b in pairs if b == x and a != x} for x in p}
+
+    def brute(links, top_n, min_score):
+        out = []
+        for a in p:
+            for b in p:
+                if a < b and a[0] != b[0] and (a, b) not in links and (b, a) not in links:
+                    i, k = len(tags[a] & tags[b]), len(near[a] & near[b]) if links else 0
+                    s = (0.5 if kind[a] and kind[a] == kind[b] else 1.0) * (2 * i / len(tags[a] | tags[b]) + min(k * 0.3, 1.0))
+                    out += [(a, b, round(s, 3), i, k)] if s >= min_score - 1e-12 else []
+        return sorted(out, key=lambda x: (-x[2], x[0], x[1]))[:top_n]
+
+    whole = []
+    promising = insights._promising
+
+    def watched(*args):
+        found = promising(*args)
+        whole.append(found.count())
+        return found
+
+    monkeypatch.setattr(insights, "_promising", watched)
+    edges = spark.createDataFrame([(a, b, "wikilink", 1.0) for a, b in sorted(pairs)], "src string, dst string, type string, weight double")
+    for links, top_n, min_score in ((pairs, 5, 0.3), (pairs, 700, 0.5), (pairs, None, 0.3), (set(), 20, 0.3)):
+        got = [tuple(x) for x in insights.suggest_links(nodes, edges if links else edges.limit(0), None, top_n, min_score).collect()]
+        assert got == brute(links, top_n, min_score)
+    assert whole[0] < 100 < whole[2]  # few pairs are formed for few results
+
+
 def test_strict_dates(spark):
     df = spark.createDataFrame([("2026-04-29",), ("2026-04-29T10:00",), ("2026-4-9",), ("2026-02-30",), ("",), (None,)], "d string")
     assert [str(r[0]) for r in df.select(iso_date(df["d"])).collect()] == ["2026-04-29"] + ["None"] * 5
