@@ -288,6 +288,25 @@ def test_global_suggestions_match_brute_force(spark, monkeypatch):
     assert whole[0] < 100 < whole[2]  # few pairs are formed for few results
 
 
+def test_surprising_connections_search_only_far_pairs(spark, monkeypatch):
+    p = [f"{f}/{i}.md" for i, f in enumerate("abcdef")]
+    nodes = spark.createDataFrame([(x, "Home" if i == 5 else x, None, ["t", "u"] if i < 4 else []) for i, x in enumerate(p)], "path string, title string, type string, tags array<string>")
+    # 0 and 1 share a neighbour (4); 2 and 0, 2 and 1, share only a generic page (5); 3 has no links
+    rows = [(p[0], p[4]), (p[1], p[4]), (p[0], p[5]), (p[1], p[5]), (p[2], p[5])]
+    edges = spark.createDataFrame([(a, b, "wikilink", 1.0) for a, b in rows], "src string, dst string, type string, weight double")
+    searched = []
+    distances = insights.distances
+
+    def watched(steps, pairs):
+        searched.extend((x["a"], x["b"]) for x in pairs.collect())
+        return distances(steps, pairs)
+
+    monkeypatch.setattr(insights, "distances", watched)
+    got = [(x["source"], x["target"], x["score"], x["distance"]) for x in insights.surprising_connections(nodes, edges).collect()]
+    assert got == [(p[0], p[2], 2.3, 99), (p[1], p[2], 2.3, 99), (p[0], p[3], 2.0, 99), (p[1], p[3], 2.0, 99), (p[2], p[3], 2.0, 99)]
+    assert sorted(searched) == sorted(x[:2] for x in got)
+
+
 def test_strict_dates(spark):
     df = spark.createDataFrame([("2026-04-29",), ("2026-04-29T10:00",), ("2026-4-9",), ("2026-02-30",), ("",), (None,)], "d string")
     assert [str(r[0]) for r in df.select(iso_date(df["d"])).collect()] == ["2026-04-29"] + ["None"] * 5
